@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, warc
+from . import media, minhash, mixing, packing, suffixes, warc
 from .common import Scratch
 
 
@@ -21,6 +21,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -34,13 +38,17 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(_read(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op10")
     archives = scratch.put(warc.write_archives(warc.mark_revisits(_read(spark, sf_dir, "pages"))))
     return warc.read_archives(archives).where(F.col("kind") == "record").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op6_best_fit_packing, op8_source_mixing, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_media_columns, op6_best_fit_packing, op8_source_mixing, op9_suffix_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """
