@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, minhash, mixing, packing, scoring, suffixes, toxicity, warc
+from . import media, minhash, mixing, packing, scoring, suffixes, toxicity, vectors, warc
 from .common import Scratch
 
 
@@ -42,6 +42,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), Scratch(spark, "op6"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"), Scratch(spark, "op8"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -57,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).where(F.col("kind") == "record").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_media_columns, op3_lm_scoring, op5_toxicity, op6_best_fit_packing, op8_source_mixing, op9_suffix_dedup, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_media_columns, op3_lm_scoring, op5_toxicity, op6_best_fit_packing, op7_embedding_near_dedup, op8_source_mixing, op9_suffix_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """
