@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, minhash, mixing, packing, scoring, suffixes, toxicity, vectors, warc
+from . import language, media, minhash, mixing, packing, scoring, suffixes, toxicity, vectors, warc
 from .common import Scratch
 
 
@@ -33,6 +33,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(_read(spark, sf_dir, "documents"), Scratch(spark, "op3"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages, by models counted over all documents; rows of documents have doc_id, of pages page_id."""
+    docs, pages = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    rows = language.from_documents(docs).withColumn("page_id", none).unionByName(language.from_pages(pages).withColumn("doc_id", none))
+    return language.identify(rows, language.model(docs), Scratch(spark, "op4"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -61,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).where(F.col("kind") == "record").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_media_columns, op3_lm_scoring, op5_toxicity, op6_best_fit_packing, op7_embedding_near_dedup, op8_source_mixing, op9_suffix_dedup, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_media_columns, op3_lm_scoring, op4_language_id, op5_toxicity, op6_best_fit_packing, op7_embedding_near_dedup, op8_source_mixing, op9_suffix_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """
