@@ -7,8 +7,7 @@ in a hierarchy: a host's counts lean on its suffix, a suffix's on the whole.  A
 in its host's prior.  Posterior log odds add up: prior, tempered text likelihood (long texts saturate, as
 trigrams are not independent), and the log ratios that the other evidence gives to the prior.
 
-A row is rejected if its text has no letters, if no language's model explains it better than evenly spread
-trigrams would, or if the best posterior is under ``LEAST``.
+A row is rejected if its text has no letters, or if the best posterior is under ``LEAST``.
 
 Edge cases: null and empty texts are rejected with language 'und'; null or malformed declared, suffix and host
 are no evidence; null and repeated ids are rows like others; ties go to the first language by code point; with no
@@ -41,8 +40,8 @@ _CLASS[65:91] = np.arange(97, 123)
 _CLASS[128:] = np.arange(128, 256)
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all trigrams with two letters or more (others get BUCKETS), and where each text's begin."""
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all trigrams with two letters or more (others get BUCKETS), where each text's begin, and its letters."""
     raw = [b"  " + (t or "").encode("utf-8", "replace") + b"  " for t in texts]
     data = _CLASS[np.frombuffer(b"".join(raw) + b"  ", np.uint8)]
     gap = (data == 32).astype(np.int8)
@@ -54,7 +53,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     ends = starts + [len(r) - 2 for r in raw]
     for e in (ends, ends + 1):  # trigrams over the border of two texts
         at[e[e < len(at)]] = BUCKETS
-    return at, starts
+    return at, starts, np.add.reduceat(1 - gap[: len(at)].astype(np.int64), starts)
 
 
 def model(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -65,7 +64,7 @@ def model(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for b in sized(batch, 1):
-                at, starts = trigrams(b.column(1).to_pylist())
+                at, starts, _ = trigrams(b.column(1).to_pylist())
                 langs = np.array(b.column(0).to_pylist(), object)
                 per = np.diff(np.append(starts, len(at)))
                 for k in set(langs.tolist()):
@@ -98,21 +97,20 @@ def text_evidence(df: DataFrame, found: tuple[list[str], np.ndarray, np.ndarray]
     keep = [c for c in df.columns if c != "text"]
     kinds = dict(df.dtypes)
     shared = df.sparkSession.sparkContext.broadcast(table.astype(np.float32))
-    even = -float(np.log(BUCKETS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             for b in sized(batch, len(keep)):
-                at, starts = trigrams(b.column(len(keep)).to_pylist())
+                at, starts, letters = trigrams(b.column(len(keep)).to_pylist())
                 n = np.add.reduceat((at < BUCKETS).astype(np.int64), starts)
                 sums = np.stack([np.add.reduceat(t[at], starts, dtype=np.float64) for t in table], axis=1)
                 mean = sums / np.maximum(n, 1)[:, None]
                 logs = mean * (n / (1 + n / SATURATION))[:, None]
                 own = np.exp((s := logs + prior) - s.max(axis=1, keepdims=True))
                 own /= own.sum(axis=1, keepdims=True)
-                ok = (n > 0) & (mean.max(axis=1) > even)
-                own[~ok] = 0
+                own[n == 0] = 0
+                ok = letters > 0
                 width = pa.array(np.arange(b.num_rows + 1) * len(langs), pa.int32())
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *(pa.ListArray.from_arrays(width, pa.array(x.ravel())) for x in (logs, own)), pa.array(ok)], [*keep, "logs", "own", "readable"])
 
@@ -149,7 +147,7 @@ def identify(df: DataFrame, found: tuple[list[str], np.ndarray, np.ndarray], scr
     best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
     sure = F.col("readable") & (F.col("rate") >= least)
     joined = joined.withColumn("language", F.when(F.col("readable"), best(F.col("sum"))).otherwise(F.lit(UNKNOWN))).withColumn("probability", F.when(F.col("readable"), F.col("rate")).otherwise(F.lit(0.0)))
-    joined = joined.withColumn("text_language", F.when(F.col("readable"), best(F.col("own"))).otherwise(F.lit(UNKNOWN))).withColumn("kept", sure)
+    joined = joined.withColumn("text_language", F.when(F.col("readable"), F.when(F.array_max("own") > 0, best(F.col("own"))).otherwise(F.lit(UNKNOWN))).otherwise(F.lit(UNKNOWN))).withColumn("kept", sure)
     return joined.select(*[c for c in df.columns if c not in {"text", "declared", "suffix", "host"}], "language", "probability", "text_language", "kept")
 
 
@@ -159,9 +157,9 @@ def subtag(column) -> F.Column:
     return F.when(x != "", x)
 
 
-def from_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def from_documents(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents as evidence: their language column is what they declare, their source is their host."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col("text"), subtag(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col("text"), subtag(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), *keep)
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
