@@ -57,6 +57,10 @@ class Shard:
         self.lf = np.full(size, -1, np.int32)
         self.lf[place[inner]] = place[np.flatnonzero(inner) - 1]
 
+    def offsets(self) -> np.ndarray:
+        """Offset of each suffix in its string, by rank."""
+        return self.at - self.starts[np.searchsorted(self.starts, self.at, side="right") - 1]
+
 
 def repeats(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each shard the string and offset of every suffix whose first ``depth`` bytes occur again in the merge."""
@@ -64,8 +68,9 @@ def repeats(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarra
     base = np.cumsum(sizes) - sizes
     last = np.concatenate([s.last for s in shards])
     lf = np.concatenate([np.where(s.lf >= 0, s.lf + b, -1) for s, b in zip(shards, base, strict=True)]).astype(np.int32)
-    here = np.arange(len(last), dtype=np.int32)  # ranks in the order of the interleave
-    group = np.zeros(len(last), np.int32)
+    # Ranks in the order of the interleave; a window of ``depth`` bytes grows leftwards from the suffix at its end.
+    here = np.concatenate([b + np.flatnonzero(s.offsets() >= depth) for s, b in zip(shards, base, strict=True)]).astype(np.int32)
+    group = np.zeros(len(here), np.int32)
     for _ in range(depth):
         c = last[here]
         ok = c >= 0
