@@ -8,8 +8,10 @@ probability weighted Jaccard, sum(min) / sum(max).  Points are drawn in time ord
 its next point is later than the latest register of its document.
 
 Search: bands of registers are hashed to buckets.  Members of a bucket are compared with its smallest member,
-and components are formed; what then still lies in one bucket but in different components is compared in
-full.  So no link between candidates is lost, and a large group of near copies costs its size, not its square.
+and components are formed.  What then still lies in one bucket but in different components is compared in full:
+pair by pair in small buckets; in larger ones block by block, as products of 0/1 matrices with a column for each
+copy of a shingle, whose rows give back a spanning forest of links.  So no link between candidates is lost, and no
+stage emits the pairs of a large group.
 Pairs are verified on the shingle counts themselves.
 
 Edge cases: texts of fewer words than a shingle are one shingle; texts without words (null, empty) are near
@@ -33,6 +35,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 CHUNK = 1 << 20
+PAIRED, BLOCK = 16, 1024  # larger buckets are compared as matrices, in blocks of members
 
 
 def shingles(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,6 +165,55 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _open(wide: DataFrame, comp: DataFrame) -> DataFrame:
+    """Of ``wide(key, id)``, the buckets that hold several components: with c, the commonest of them, and the size."""
+    label = wide.join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    sizes = label.groupBy("key", "c").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.sum("n").alias("k"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
+    return label.join(most, "key")
+
+
+def _blocks(texts: list[str], shingle: int, threshold: float) -> np.ndarray:
+    """Which texts are at least ``threshold`` similar, as a matrix."""
+    doc, item, count = shingles(texts, shingle)
+    total = np.bincount(doc, count, len(texts))
+    copies = np.repeat(np.arange(len(doc)), count)
+    nth = np.arange(len(copies)) - np.repeat(np.cumsum(count) - count, count)
+    _, col, n = np.unique(mix(item[copies] + nth.astype(np.uint64) * _GOLD), return_inverse=True, return_counts=True)
+    both = n[col] > 1
+    row, (_, col) = doc[copies][both], np.unique(col[both], return_inverse=True)
+    common = np.zeros((len(texts), len(texts)), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        a, z = np.searchsorted(col, (lo, lo + 4096))
+        m = np.zeros((len(texts), 4096), np.float32)
+        m[row[a:z], col[a:z] - lo] = 1
+        common += m @ m.T
+    return (common >= threshold * (total[:, None] + total[None, :] - common) - 1e-6) & (common > 0)
+
+
+def _dense(open_: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (a, b) between different components inside large buckets ``open_(key, id, c, k)``, enough of them to join what they join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
+        like = _blocks(table.column("text").to_pylist(), shingle, threshold) & (c[:, None] != c[None, :])
+        root, out = np.arange(len(ids)), []
+        for i, j in zip(*np.nonzero(np.triu(like)), strict=True):
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+    n = F.ceil(F.col("k") / BLOCK)
+    own = F.pmod(F.xxhash64("id"), n)
+    rows = open_.withColumn("n", n).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.select("key", "id", "c", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
+    rows = rows.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    return rows.groupBy("key", "b1", "b2").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (equal texts), component_id (texts linked by near copies) and kept, for each row."""
     signed = scratch.put(sign(docs, id_col, text_col, shingle, n_bands, rows))
@@ -178,15 +230,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id"
     links = scratch.put(verify(tried, texts, shingle, threshold))
     comp = scratch.put(components(links, scratch))
     # What shares a bucket but not a component, and was not compared yet.
-    label = shared.where("n > 2").select("key", "id").join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    sizes = label.groupBy("key", "c").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("k")).where("k > 1")
-    open_ = scratch.put(label.join(most.select("key", "most"), "key"))
-    rest = open_.where("c <> most").select("key", F.col("id").alias("i"), F.col("c").alias("ci"), F.lit(True).alias("odd"))
-    pairs = rest.join(open_.select("key", F.col("id").alias("j"), F.col("c").alias("cj"), F.col("most")), "key")
+    open_ = scratch.put(_open(shared.where("n > 2").select("key", "id"), comp))
+    few, lot = open_.where(F.col("k") <= PAIRED), open_.where(F.col("k") > PAIRED)
+    rest = few.where("c <> most").select("key", F.col("id").alias("i"), F.col("c").alias("ci"))
+    pairs = rest.join(few.select("key", F.col("id").alias("j"), F.col("c").alias("cj"), F.col("most")), "key")
     pairs = pairs.where("ci <> cj and (cj = most or i < j)").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     more = verify(pairs.join(tried, ["a", "b"], "left_anti"), texts, shingle, threshold)
-    more = scratch.put(more)
+    more = scratch.put(more.unionByName(_dense(lot, texts, shingle, threshold)))
     if more.limit(1).count():
         comp = scratch.put(components(links.unionByName(more), scratch))
     out = signed.select("doc_id", "digest").join(rep, "digest").join(comp, F.col("class_id") == F.col("node"), "left")
