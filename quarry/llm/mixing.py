@@ -21,7 +21,7 @@ from .common import Scratch
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BLOCK = 16
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 250_000
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
