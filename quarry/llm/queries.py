@@ -72,6 +72,30 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_media_columns, op3_lm_scoring, op4_language_id, op5_toxicity, op6_best_fit_packing, op7_embedding_near_dedup, op8_source_mixing, op9_suffix_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {
+    # All pairs that share a shingle; for small tables.
+    "op1_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        c AS (SELECT text, min(doc_id) AS class_id FROM d GROUP BY text),
+        w AS (SELECT class_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM c WHERE class_id IS NOT NULL),
+        s AS (SELECT class_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0),
+        n AS (SELECT class_id, g, count(*) AS n FROM s GROUP BY ALL),
+        t AS (SELECT class_id, sum(n) AS t FROM n GROUP BY class_id),
+        p AS (SELECT a.class_id AS a, b.class_id AS b, sum(least(a.n, b.n)) AS i FROM n a JOIN n b ON a.g = b.g AND a.class_id < b.class_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN t x ON x.class_id = a JOIN t y ON y.class_id = b WHERE i::DOUBLE / (x.t + y.t - i) >= 0.8::DOUBLE),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT class_id AS node, class_id AS low FROM c WHERE class_id IS NOT NULL UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node),
+        m AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
+        SELECT doc_id, CASE WHEN doc_id IS NOT NULL THEN class_id END AS class_id, CASE WHEN doc_id IS NOT NULL THEN component_id END AS component_id, doc_id IS NULL OR doc_id = component_id AS kept
+        FROM d JOIN c USING (text) LEFT JOIN m ON m.node = c.class_id""",
+    # All pairs; for small tables.
+    "op7_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        r AS (SELECT vec_id AS node, vec_id AS low FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node),
+        m AS (SELECT node, min(low) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NULL OR vec_id = component_id AS kept
+        FROM embeddings LEFT JOIN m ON m.node = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op10_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS first FROM p)
