@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id"
     more = scratch.put(more.unionByName(_dense(lot, texts, shingle, threshold)))
     if more.limit(1).count():
         comp = scratch.put(components(links.unionByName(more), scratch))
+    scratch.drop(shared, tried, texts, links, open_, more)
     out = signed.select("doc_id", "digest").join(rep, "digest").join(comp, F.col("class_id") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))

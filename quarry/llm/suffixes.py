@@ -174,6 +174,7 @@ def covered(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, depth
     twice = windows.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     counted = windows.join(twice, ["anchor", "h1", "h2"]).select("anchor", "content", "lo", (F.col("lo") + depth).alias("hi"))
     marks = scratch.put(whole.unionByName(merged).unionByName(counted))
+    scratch.drop(often, kinds, cut)
     spans = found.join(marks, ["anchor", "content"]).select("doc", "k", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.when(F.col("hi").isNull(), F.col("span")).otherwise(F.col("hi"))).alias("hi"))
     spans = spans.groupBy("doc", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return base, spans

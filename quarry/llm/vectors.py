@@ -148,6 +148,7 @@ def near_vectors(df: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vec
     counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("hits"))  # a class finds its own members too
     result = classes.join(counts, "rep").join(comp, F.col("rep") == F.col("node"), "left").select("label", "v", F.greatest(F.col("hits") - 1, F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     result = scratch.put(result.withColumnRenamed("label", "l2").withColumnRenamed("v", "v2"))
+    scratch.drop(classes, dealt, graphs, found)
     out = rows.withColumn("good", good).join(result, F.col("good") & (F.col("label") == F.col("l2")) & (v == F.col("v2")), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").isNull() | (F.col("vec_id") == component)).alias("kept"))
