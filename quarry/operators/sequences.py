@@ -49,3 +49,20 @@ def missing_from(a: Column, b: Column) -> Column:
     count = lambda arr: F.transform(F.array_distinct(arr), lambda x: F.struct(x.alias("key"), F.size(F.filter(arr, lambda y: y == x)).alias("n")))
     of = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
     return F.map_from_entries(F.filter(F.transform(count(a), lambda e: F.struct(e["key"].alias("key"), (e["n"] - of(b, e["key"])).alias("value"))), lambda e: e["value"] > 0))
+
+
+def filled(official: DataFrame, drafts: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
+    """Official rows, with blank fields taken together from the latest draft of the same key; ``origin`` says from where."""
+    d = latest(drafts, keys, [F.desc(order)]).select(*keys, F.struct(*fields).alias("_draft"))
+    j = official.join(d, keys, "left")
+    blank = F.coalesce(F.trim(F.col(fields[0])), F.lit("")) == ""
+    use = blank & F.col("_draft").isNotNull()
+    out = j.select(*keys, *(F.when(use, F.col(f"_draft.{f}")).otherwise(F.col(f)).alias(f) for f in fields), F.when(use, "draft").when(blank, "none").otherwise("official").alias("origin"))
+    return out
+
+
+def set_changes(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, change: what only one side has, as 'removed' or 'added'."""
+    gone = base.select(*keys).distinct().join(other.select(*keys), keys, "left_anti").withColumn("change", F.lit("removed"))
+    new = other.select(*keys).distinct().join(base.select(*keys), keys, "left_anti").withColumn("change", F.lit("added"))
+    return gone.unionByName(new)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.operators import geometry, quality, sequences, trees
 from quarry.sources import canonical as C
+from quarry.streaming import events as S
 
 PAIR_KEYS = ["source", "section_id", "page", "item"]
 
@@ -153,6 +154,20 @@ def roman_pages(spark, d):
     return t.withColumn("value", X.roman(F.col("token")))
 
 
+def filled_drafts(spark, d):
+    base = C.findings(spark, d).withColumn("result", F.when(F.substring("section_id", -1, 1).isin("0", "5"), "").otherwise(F.col("result")))
+    drafts = C.findings(spark, d, 2).withColumn("batch", F.lit(1)).unionByName(C.findings(spark, d).where("page % 2 = 0").withColumn("batch", F.lit(2)))
+    return sequences.filled(base, drafts, PAIR_KEYS, ["result", "severity"], "batch")
+
+
+def key_changes(spark, d):
+    return sequences.set_changes(C.findings(spark, d), C.findings(spark, d, 2), ["section_id"])
+
+
+def event_windows(spark, d):
+    return S.windowed(C.read(spark, d, "events"), "1 hour", ["event_type"]).withColumn("total", F.round("total", 4))
+
+
 def missing_words(spark, d):
     t = _tree(spark, d)
     a, b = F.split("title", " "), F.split(F.lower("title"), " ")
@@ -169,7 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         outline, hierarchy_parent, subtree_end, page_ranges, hierarchy_path, block_owner, deepest_section, tree_coverage, tree_precision, tree_structure, tree_status, tree_statistics,
-        page_windows, overlap_trim, continued_runs, nearest_above, iou_match, hamilton_allocation, even_sample, confidence_index, version_pairs, version_diff, latest_event, first_rule,
+        page_windows, overlap_trim, continued_runs, nearest_above, iou_match, hamilton_allocation, even_sample, confidence_index, version_pairs, version_diff, filled_drafts, key_changes, latest_event, event_windows, first_rule,
         normal_titles, roman_pages, missing_words, title_similarity,
     )
 }
@@ -214,6 +229,9 @@ ORACLES: dict[str, str] = {
     "confidence_index": f"{_F} SELECT source, count(*) AS evaluated, CAST(sum(CASE WHEN result = 'FAIL' THEN CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS weighted, round(greatest(least(100.0::DOUBLE * (1.0::DOUBLE - sum(CASE WHEN result = 'FAIL' THEN CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END ELSE 0 END)::DOUBLE / count(*)), 100.0), 0.0), 6) AS score FROM f1 GROUP BY source",
     "version_pairs": f"{_F} SELECT source, CASE WHEN f1.result = f2.result THEN 'same' WHEN f2.result = 'PASS' THEN 'fixed' ELSE 'regressed' END AS change, count(*) AS n FROM f1 JOIN f2 USING ({_KEYS}) GROUP BY ALL",
     "version_diff": f"{_F}, j AS (SELECT {_KEYS}, f1.result AS r1, f2.result AS r2, f1.severity AS s1, f2.severity AS s2 FROM f1 FULL JOIN f2 USING ({_KEYS})) SELECT {_KEYS}, 'result' AS field, r1 AS before, r2 AS after FROM j WHERE r1 IS DISTINCT FROM r2 UNION ALL SELECT {_KEYS}, 'severity', s1, s2 FROM j WHERE s1 IS DISTINCT FROM s2",
+    "filled_drafts": f"{_F}, b AS (SELECT source, section_id, page, item, CASE WHEN right(section_id, 1) IN ('0', '5') THEN '' ELSE result END AS result, severity FROM f1), d AS (SELECT *, 1 AS batch FROM f2 UNION ALL SELECT *, 2 FROM f1 WHERE page % 2 = 0), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY batch DESC) AS r FROM d) WHERE r = 1) SELECT {_KEYS}, CASE WHEN b.result = '' AND l.r = 1 THEN l.result ELSE b.result END AS result, CASE WHEN b.result = '' AND l.r = 1 THEN l.severity ELSE b.severity END AS severity, CASE WHEN b.result <> '' THEN 'official' WHEN l.r = 1 THEN 'draft' ELSE 'none' END AS origin FROM b LEFT JOIN l USING ({_KEYS})",
+    "key_changes": f"{_F} SELECT section_id, 'removed' AS change FROM (SELECT section_id FROM f1 EXCEPT SELECT section_id FROM f2) UNION ALL SELECT section_id, 'added' FROM (SELECT section_id FROM f2 EXCEPT SELECT section_id FROM f1)",
+    "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "latest_event": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "first_rule": f"{_TREE} SELECT CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' WHEN regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+') THEN 'contact' WHEN regexp_matches(text, '[0-9]{{4,}}') THEN 'number' WHEN regexp_matches(text, '\\|') THEN 'table' END AS rule, count(*) AS n FROM blocks GROUP BY ALL",
     "normal_titles": f"{_TREE} SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM outline",
