@@ -9,8 +9,9 @@ DIR = "/root/testdata/sf0.001"
 def test_manifest_and_audit(spark, tmp_path):
     for name, text in (("a", "1"), ("b", "2"), ("c", "3")):
         (tmp_path / name).write_text(text)
-    before = files.manifest(spark, str(tmp_path)).cache()
-    assert before.count() == 3
+    rows = files.manifest(spark, str(tmp_path)).collect()
+    assert len(rows) == 3
+    before = spark.createDataFrame(rows)
     (tmp_path / "a").write_text("changed")
     (tmp_path / "b").unlink()
     (tmp_path / "d").write_text("4")
