@@ -165,7 +165,7 @@ def key_changes(spark, d):
 
 
 def event_windows(spark, d):
-    return S.windowed(C.read(spark, d, "events"), "1 hour", ["event_type"]).withColumn("total", F.round("total", 4))
+    return S.windowed(C.read(spark, d, "events"), "1 hour", ["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def missing_words(spark, d):
