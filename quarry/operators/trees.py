@@ -1,34 +1,53 @@
 """Level-coded trees: parents, subtree ends, page ranges, paths, ownership, validation and statistics.
 
-A tree is an ordered list of entries with levels, per document.  All operators are windows and equi joins by document;
-the array forms hold one document's outline at a time.
+A tree is an ordered list of entries with levels, per document.  All operators are running windows and equi joins by
+document, linear in the entries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _outline_arrays(tree: DataFrame) -> DataFrame:
-    """Every entry with the whole ordered outline of its document as ``all``."""
-    every = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return tree.withColumn("all", F.collect_list(F.struct("pos", "level", "page_no", "title")).over(every))
+MAX_LEVELS = 64
+
+
+def _levels(tree: DataFrame) -> list[int]:
+    """The levels in use, lowest first; outlines have a handful, and more than MAX_LEVELS is an error."""
+    found = [r[0] for r in tree.select("level").where("level is not null").distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels")
+    return sorted(found)
+
+
+def _last(column, level: int, window) -> Column:
+    return F.last(F.when(F.col("level") == level, column), ignorenulls=True).over(window)
+
+
+def _before():
+    return Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _after():
+    """Read backwards, so that it stays linear."""
+    return Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def parents(tree: DataFrame) -> DataFrame:
-    """Adds parent_pos: the nearest entry before with a lower level, null for roots."""
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("pos", "level")).over(before)
-    return tree.withColumn("parent_pos", F.array_max(F.transform(F.filter(seen, lambda x: x["level"] < F.col("level")), lambda x: x["pos"])))
+    """Adds parent_pos: the nearest entry before with a lower level, null for roots.
+
+    It is the latest of the last entries of each lower level: one sort and a running value for each level.
+    """
+    at = [F.when(F.col("level") > k, _last(F.col("pos"), k, _before())) for k in _levels(tree)]
+    return tree.withColumn("parent_pos", F.array_max(F.array(*at)) if at else F.lit(None).cast("int"))
 
 
 def subtree_ends(tree: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Adds end_pos (exclusive end of the subtree, null at the end of the document); with ``pages(doc_id, total)`` also page_end."""
-    after = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    follow = F.filter(F.collect_list(F.struct("pos", "level", "page_no")).over(after), lambda x: x["level"] <= F.col("level"))
-    first = F.when(F.size(follow) > 0, follow[0])
-    out = tree.withColumn("_next", first)
+    entry = F.struct("pos", "page_no")
+    at = [F.when(F.col("level") >= k, _last(entry, k, _after())) for k in _levels(tree)]
+    out = tree.withColumn("_next", F.array_min(F.array_compact(F.array(*at))) if at else F.lit(None).cast("struct<pos:int,page_no:int>"))
     if pages is None:
         return out.withColumn("end_pos", F.col("_next.pos")).drop("_next")
     out = out.join(pages, "doc_id")
@@ -37,15 +56,16 @@ def subtree_ends(tree: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 
 
 def paths(tree: DataFrame, sep: str = " > ") -> DataFrame:
-    """Adds path: titles from the root down.  One pass over the entries before, without recursion.
+    """Adds path: titles from the root down, without recursion.
 
-    Walking back, an entry is an ancestor if its level is below every level met since.
+    The last entry of a lower level is an ancestor if no entry of a still lower level came after it.
     """
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back = F.reverse(F.collect_list(F.struct("level", "title")).over(upto))
-    start = F.struct(F.lit(1 << 30).alias("low"), F.array().cast("array<string>").alias("path"))
-    step = lambda a, x: F.when(x["level"] < a["low"], F.struct(x["level"].alias("low"), F.concat(F.array(x["title"]), a["path"]).alias("path"))).otherwise(a)
-    return tree.withColumn("path", F.array_join(F.aggregate(back, start, step, lambda a: a["path"]), sep))
+    parts, lower = [], F.lit(-1).cast("long")
+    for k in _levels(tree):
+        pos = _last(F.col("pos"), k, _before())
+        parts.append(F.when((F.col("level") > k) & (pos > lower), _last(F.col("title"), k, _before())))
+        lower = F.greatest(lower, pos)
+    return tree.withColumn("path", F.array_join(F.array_compact(F.array(*parts, F.col("title"))), sep))
 
 
 def owners(blocks: DataFrame, tree: DataFrame) -> DataFrame:
