@@ -11,7 +11,7 @@ A row is rejected if its text has no letters, or if the best posterior is under
 
 Edge cases: null and empty texts are rejected with language 'und'; null or malformed declared, suffix and host
 are no evidence; null and repeated ids are rows like others; ties go to the first language by code point; with no
-labelled text every row is rejected; an empty table gives no rows; other columns are ignored.
+labelled text every row is rejected; a label that is no tag is a language of its own, as it is written; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import Scratch
 from .minhash import sized
 
 BUCKETS = 1 << 14
-LANGUAGES = 64  # the most frequent labels have models
+BLOCK = 64  # languages summed in one aggregate, or counted by one task before it hands on what it has
 SATURATION = 200.0
 SMOOTHING = 0.5
 DECLARED_WEIGHT, SUFFIX_WEIGHT, HOST_WEIGHT = 10.0, 50.0, 20.0
@@ -57,35 +57,47 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def model(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log priors by rows, and log probabilities of buckets (languages x BUCKETS + 1, the last 0)."""
-    rows = labelled.select(F.lower(F.trim(F.col(label_col))).alias("lang"), F.col(text_col).alias("text")).where("lang <> '' and text is not null")
+    """Languages, log priors by rows, and log probabilities of buckets (languages x BUCKETS + 1, the last 0).
+
+    Every primary subtag has a model, and every other label that is not empty: 64 KB each in the driver and the tasks.
+    """
+    label = F.col(label_col)
+    rows = labelled.select(F.coalesce(subtag(label), F.lower(F.trim(label))).alias("lang"), F.col(text_col).alias("text")).where("lang <> '' and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, n in total.items():
+                hit = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(n[hit], pa.int64())], ["lang", "bucket", "n"])
+            total.clear()
+
         for batch in batches:
             for b in sized(batch, 1):
                 at, starts, _ = trigrams(b.column(1).to_pylist())
-                langs = np.array(b.column(0).to_pylist(), object)
-                per = np.diff(np.append(starts, len(at)))
-                for k in set(langs.tolist()):
-                    own = np.repeat(langs == k, per)
-                    total[k] = total.get(k, 0) + np.bincount(at[own], minlength=BUCKETS + 1)[:BUCKETS]
-        for k, n in total.items():
-            hit = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(n[hit], pa.int64())], ["lang", "bucket", "n"])
-
-    most = [r[0] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    seen = {r[0]: r[1] for r in rows.where(F.col("lang").isin(most)).groupBy("lang").count().collect()} if most else {}
+                parts = np.split(at, starts[1:])
+                of: dict[str, list[np.ndarray]] = {}
+                for k, part in zip(b.column(0).to_pylist(), parts, strict=True):
+                    of.setdefault(k, []).append(part)
+                for k, own in of.items():
+                    total[k] = total.get(k, 0) + np.bincount(np.concatenate(own), minlength=BUCKETS + 1)[:BUCKETS]
+                    if len(total) > BLOCK:
+                        yield from out()
+        yield from out()
+
+    seen = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(seen)
     if not langs:
-        return [], np.zeros(0), np.zeros((0, BUCKETS + 1))
-    counts = rows.where(F.col("lang").isin(langs)).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = np.zeros((len(langs), BUCKETS + 1))
+        return [], np.zeros(0), np.zeros((0, BUCKETS + 1), np.float32)
+    counts = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    place = {k: i for i, k in enumerate(langs)}
+    table = np.full((len(langs), BUCKETS + 1), -np.log(BUCKETS), np.float32)  # a label whose texts have no trigram says nothing
     for r in counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).toLocalIterator():  # BUCKETS pairs a row
         x = np.array([(p[0], p[1]) for p in r[1]], np.int64)
-        table[langs.index(r[0]), x[:, 0]] = x[:, 1]
-    table[:, :BUCKETS] += SMOOTHING
-    table[:, :BUCKETS] = np.log(table[:, :BUCKETS] / table[:, :BUCKETS].sum(axis=1, keepdims=True))
+        n = np.full(BUCKETS, SMOOTHING)
+        n[x[:, 0]] += x[:, 1]
+        table[place[r[0]], :BUCKETS] = np.log(n / n.sum())
     table[:, BUCKETS] = 0
     prior = np.array([seen[k] for k in langs], float)
     return langs, np.log(prior / prior.sum()), table
@@ -96,12 +108,13 @@ def text_evidence(df: DataFrame, found: tuple[list[str], np.ndarray, np.ndarray]
     langs, prior, table = found
     keep = [c for c in df.columns if c != "text"]
     kinds = dict(df.dtypes)
-    shared = df.sparkSession.sparkContext.broadcast(table.astype(np.float32))
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    step = max(1, (1 << 20) // len(langs))  # rows whose arrays are built at a time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            for b in sized(batch, len(keep)):
+            for b in (x.slice(k, step) for x in sized(batch, len(keep)) for k in range(0, x.num_rows, step)):
                 at, starts, letters = trigrams(b.column(len(keep)).to_pylist())
                 n = np.add.reduceat((at < BUCKETS).astype(np.int64), starts)
                 sums = np.stack([np.add.reduceat(t[at], starts, dtype=np.float64) for t in table], axis=1)
@@ -123,26 +136,40 @@ def identify(df: DataFrame, found: tuple[list[str], np.ndarray, np.ndarray], scr
     if not langs:
         zero = F.lit(0.0)
         return df.drop("text", "declared", "suffix", "host").withColumn("language", F.lit(UNKNOWN)).withColumn("probability", zero).withColumn("text_language", F.lit(UNKNOWN)).withColumn("kept", F.lit(False))
-    size = range(len(langs))
     base = F.array(*(F.lit(float(np.exp(p))) for p in prior))
     ev = scratch.put(text_evidence(df, found))
-    p = lambda c, i: F.col(c)[i]
+    blocks = [(at, min(BLOCK, len(langs) - at)) for at in range(0, len(langs), BLOCK)]
 
     def votes(by: str) -> DataFrame:
-        return ev.where(F.col(by).isNotNull() & F.col("readable")).groupBy(by).agg(*(F.sum(p("own", i)).alias(f"v{i}") for i in size)).select(by, F.array(*(F.col(f"v{i}") for i in size)).alias(f"{by}_votes"))
+        """Sums of own, one aggregate of at most BLOCK languages a row, however many languages there are."""
+        rows = ev.where(F.col(by).isNotNull() & F.col("readable"))
+        if len(blocks) > 1:
+            rows = rows.select(by, F.posexplode(F.array(*(F.slice("own", at + 1, n) for at, n in blocks))).alias("part", "own"))
+        else:
+            rows = rows.select(by, F.lit(0).alias("part"), "own")
+        size = range(blocks[0][1])
+        # the last block is shorter: its missing sums are null
+        sums = rows.groupBy(by, "part").agg(*(F.sum(F.get("own", F.lit(i))).alias(f"v{i}") for i in size))
+        part = F.filter(F.array(*(F.col(f"v{i}") for i in size)), lambda x: x.isNotNull())
+        if len(blocks) == 1:
+            return sums.select(by, part.alias(f"{by}_votes"))
+        whole = sums.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("part", part.alias("v")))).alias("all"))
+        return whole.select(by, F.flatten(F.col("all.v")).alias(f"{by}_votes"))
 
     # declared values and suffixes are short codes: two or three letters, or the last label of a host
     joined = ev.join(votes("declared"), "declared", "left").join(votes("suffix"), "suffix", "left").join(votes("host"), "host", "left")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    lean = lambda v, parent, w: F.transform(F.arrays_zip(v.alias("a"), parent.alias("b")), lambda x: (F.greatest(x["a"], F.lit(0.0)) + w * x["b"]) / (F.greatest(total(v), F.lit(0.0)) + w))
-    zeros = F.array(*(F.lit(0.0) for _ in size))
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # c is worked out once, not for every language
+    lean = lambda v, parent, w: once(total(v), lambda n: F.transform(F.arrays_zip(v.alias("a"), parent.alias("b")), lambda x: (F.greatest(x["a"], F.lit(0.0)) + w * x["b"]) / (F.greatest(n, F.lit(0.0)) + w)))
+    zeros = F.array(*(F.lit(0.0) for _ in langs))
     joined = joined.withColumn("at_declared", F.when(F.col("declared_votes").isNull(), base).otherwise(lean(F.coalesce("declared_votes", zeros), base, F.lit(DECLARED_WEIGHT))))
     joined = joined.withColumn("at_suffix", F.when(F.col("suffix_votes").isNull(), base).otherwise(lean(F.coalesce("suffix_votes", zeros), base, F.lit(SUFFIX_WEIGHT))))
     others = F.when(F.col("host_votes").isNull(), zeros).otherwise(F.zip_with("host_votes", "own", lambda a, b: a - b))
     joined = joined.withColumn("others", others).withColumn("at_host", lean(F.col("others"), F.col("at_suffix"), F.lit(HOST_WEIGHT)))
-    logs = F.array(*(p("logs", i) + F.log(p("at_host", i)) + F.log(p("at_declared", i)) - F.lit(float(prior[i])) for i in size))
+    priors = F.array(*(F.lit(float(p)) for p in prior))
+    logs = F.transform(F.arrays_zip("logs", "at_host", "at_declared", priors.alias("prior")), lambda x: x["logs"] + F.log(x["at_host"]) + F.log(x["at_declared"]) - x["prior"])
     joined = joined.withColumn("sum", logs).withColumn("top", F.array_max("sum"))
-    joined = joined.withColumn("rate", F.exp(F.lit(0.0)) / total(F.transform("sum", lambda x: F.exp(x - F.col("top")))))
+    joined = joined.withColumn("rate", F.exp(F.lit(0.0)) / once(F.col("top"), lambda t: total(F.transform("sum", lambda x: F.exp(x - t)))))
     names = F.array(*map(F.lit, langs))
     best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
     sure = F.col("readable") & (F.col("rate") >= least)

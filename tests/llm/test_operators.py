@@ -184,6 +184,19 @@ def test_language_evidence_and_hosts(spark):
     assert not got[91].kept and not got[92].kept
 
 
+def test_every_label_has_a_model(spark):
+    """More languages than one block, the rare ones too; regions count as their language, other labels as they are."""
+    rng = random.Random(9)
+    names = [a + b for a in "abcdefgh" for b in "klmnopqrst"][:75] + ["plain english"]
+    words = [["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(12)] for _ in names]
+    rows = [(k * 10 + i, " ".join(rng.choice(words[k]) for _ in range(40)), (n, n.upper() + "-XX")[i % 2] if k < 75 else n) for k, n in enumerate(names) for i in range(2 + (k < 64))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s").cast("string"))
+    found = language.model(docs)
+    assert found[0] == sorted(names)
+    got = {r.doc_id: r for r in language.identify(language.from_documents(docs), found, Scratch(spark, "t")).collect()}
+    assert all(got[i].language == got[i].text_language == names[i // 10] and got[i].kept for i, *_ in rows)
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(6)
     bad = ["idiot", "scum", "moron"]
