@@ -26,6 +26,7 @@ DATE = "2000-01-01T00:00:00Z"
 ARCHIVE_BYTES = 8 << 20
 MIN_REVISIT_BYTES = 1000
 _MEMBER, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
+_VERSION_LINE = re.compile(rb"WARC/1\.[0-9]+[ \t]*\r\n")
 READ_SCHEMA = "archive string, kind string, offset long, length long, record_type string, page_id long, refers_to long, uri string, payload_bytes long, payload_digest string, reason string"
 
 
@@ -70,21 +71,24 @@ def _page(field: str | None) -> int | None:
 
 def _parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at ``at`` and the offset after it; Damaged if any check fails."""
-    if not data.startswith(_VERSION, at):
+    if not (m := _VERSION_LINE.match(data, at)):
         raise Damaged("version line")
-    end = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if end < 0:
-        raise Damaged("headers")
-    fields = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    fields, pos = {}, m.end()
+    while True:  # line by line, so that headers may be of any length and what is no header costs one line
+        end = data.find(b"\r\n", pos)
+        if end < 0:
+            raise Damaged("headers")
+        if end == pos:
+            break
+        name, colon, value = data[pos:end].partition(b":")
+        pos = end + 2
         if not colon:
             raise Damaged("header line")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     size = fields.get("content-length", "")
     if not size.isdigit():
         raise Damaged("length")
-    start, stop = end + 4, end + 4 + int(size)
+    start, stop = end + 2, end + 2 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("record end")
     block = data[start:stop]

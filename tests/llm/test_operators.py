@@ -342,3 +342,10 @@ def test_archives(spark):
         want[(i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", top if again else None)] += 1
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == want
     assert warc.read_archives(warc.write_archives(warc.mark_revisits(df.limit(0)))).count() == 0
+
+
+def test_pages_of_very_long_addresses_are_kept(spark, tmp_path):
+    rows = [(1, "http://h/" + "a" * 100_000, "<p>" + "x" * 1200), (2, "http://h/" + "b " * 50_000, "<p>" + "x" * 1200), (3, "http://h/" + "c" * 100_000, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in queries.op10_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: (1203, "revisit", 2), 2: (1203, "response", None), 3: (0, "response", None)}

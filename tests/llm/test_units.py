@@ -152,6 +152,17 @@ def test_warc_salvage_recovers_what_follows_damage():
     assert [x["reason"] for x in warc.salvage(changed)] == ["block digest"]
 
 
+def test_warc_headers_of_any_length():
+    url = "http://h/" + "é x" * 50_000
+    recs = [warc.record(1, url, b"a" * 1500), warc.record(2, url, b"a" * 1500, refers_to=1), warc.record(3, "u", b"b")]
+    for parts in (recs, [warc._member(r) for r in recs]):
+        out = list(warc.salvage(b"".join(parts)))
+        assert [(x["kind"], x["page_id"], x["refers_to"]) for x in out] == [("record", 1, None), ("record", 2, 1), ("record", 3, None)]
+        assert out[0]["uri"] == out[1]["uri"] == url.replace(" ", "%20")
+        damaged = list(warc.salvage(b"WARC/1.1\r\n" + parts[0][:700] + b"".join(parts)))
+        assert [(x["kind"], x.get("page_id")) for x in damaged] == [("gap", None), ("record", 1), ("record", 2), ("record", 3)]
+
+
 def test_warc_revisit_keeps_digest_and_length():
     (x,) = warc.salvage(warc._member(warc.record(3, None, b"p" * 1200, refers_to=9)))
     assert (x["record_type"], x["refers_to"], x["payload_bytes"], x["page_id"]) == ("revisit", 9, 1200, 3)
