@@ -154,6 +154,13 @@ def roman_pages(spark, d):
     return t.withColumn("value", X.roman(F.col("token")))
 
 
+def roman_words(spark, d):
+    """Every whole word of a title, in letters of numerals as in roman_pages, with its value or null."""
+    letters = F.translate(F.lower("title"), "abefghjknopqrstuwyz", "ivxlcdmivxlcdmivxlc")
+    t = _tree(spark, d).select("doc_id", "pos", F.posexplode(F.split(letters, " ")).alias("word", "token"))
+    return t.withColumn("value", X.roman(F.col("token")))
+
+
 def filled_drafts(spark, d):
     base = C.findings(spark, d).withColumn("result", F.when(F.substring("section_id", -1, 1).isin("0", "5"), "").otherwise(F.col("result")))
     drafts = C.findings(spark, d, 2).withColumn("batch", F.lit(1)).unionByName(C.findings(spark, d).where("page % 2 = 0").withColumn("batch", F.lit(2)))
@@ -185,7 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         outline, hierarchy_parent, subtree_end, page_ranges, hierarchy_path, block_owner, deepest_section, tree_coverage, tree_precision, tree_structure, tree_status, tree_statistics,
         page_windows, overlap_trim, continued_runs, nearest_above, iou_match, hamilton_allocation, even_sample, confidence_index, version_pairs, version_diff, filled_drafts, key_changes, latest_event, event_windows, first_rule,
-        normal_titles, roman_pages, missing_words, title_similarity,
+        normal_titles, roman_pages, roman_words, missing_words, title_similarity,
     )
 }
 
@@ -236,5 +243,6 @@ ORACLES: dict[str, str] = {
     "first_rule": f"{_TREE} SELECT CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' WHEN regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+') THEN 'contact' WHEN regexp_matches(text, '[0-9]{{4,}}') THEN 'number' WHEN regexp_matches(text, '\\|') THEN 'table' END AS rule, count(*) AS n FROM blocks GROUP BY ALL",
     "normal_titles": f"{_TREE} SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM outline",
     "roman_pages": f"{_TREE}, t AS (SELECT doc_id, pos, substr(translate(lower(title), 'abefghjknopqrstuwyz', 'ivxlcdmivxlcdmivxlc'), 1, 3) AS token FROM outline), v AS (SELECT *, {_VALUE(1)} AS a, {_VALUE(2)} AS b, {_VALUE(3)} AS c FROM t) SELECT doc_id, pos, token, CAST(CASE WHEN trim(token) <> '' AND regexp_matches(trim(token), '{X.ROMAN}') THEN CASE WHEN a < b THEN -a ELSE a END + CASE WHEN b < c THEN -b ELSE b END + c END AS INTEGER) AS value FROM v",
+    "roman_words": f"{_TREE}, s AS (SELECT doc_id, pos, string_split(translate(lower(title), 'abefghjknopqrstuwyz', 'ivxlcdmivxlcdmivxlc'), ' ') AS w FROM outline), t AS (SELECT doc_id, pos, CAST(unnest(range(0, len(w))) AS INTEGER) AS word, unnest(w) AS token FROM s), l AS (SELECT doc_id, pos, word, unnest(range(1, length(trim(token)) + 1)) AS i, unnest(string_split(trim(token), '')) AS token FROM t WHERE trim(token) <> '' AND regexp_matches(trim(token), '{X.ROMAN}')), v AS (SELECT doc_id, pos, word, i, {_VALUE(1)} AS a FROM l), n AS (SELECT doc_id, pos, word, a, lead(a, 1, 0) OVER (PARTITION BY doc_id, pos, word ORDER BY i) AS b FROM v), x AS (SELECT doc_id, pos, word, CAST(sum(CASE WHEN a < b THEN -a ELSE a END) AS INTEGER) AS value FROM n GROUP BY ALL) SELECT doc_id, pos, word, token, value FROM t LEFT JOIN x USING (doc_id, pos, word)",
     "missing_words": f"{_TREE}, a AS (SELECT doc_id, pos, w, count(*) AS n FROM (SELECT doc_id, pos, unnest(string_split(title, ' ')) AS w FROM outline) GROUP BY ALL), b AS (SELECT doc_id, pos, w, count(*) AS n FROM (SELECT doc_id, pos, unnest(string_split(lower(title), ' ')) AS w FROM outline) GROUP BY ALL) SELECT doc_id, pos, CAST(sum(greatest(a.n - coalesce(b.n, 0), 0)) AS INTEGER) AS missing FROM a LEFT JOIN b USING (doc_id, pos, w) GROUP BY ALL",
 }

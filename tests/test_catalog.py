@@ -34,3 +34,10 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_has_sql_or_a_model():
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"title_similarity"}
+
+
+def test_roman_words_are_whole(spark, monkeypatch):
+    titles = ["viii", "XXIV mdcc", "mmmdccclxxxviii", "viiix", "", "some title"]
+    monkeypatch.setattr(catalog, "_tree", lambda spark, d: spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "doc_id long, pos int, title string"))
+    got = {(r.pos, r.word): r.value for r in catalog.roman_words(spark, DIR).collect()}
+    assert got == {(0, 0): 8, (1, 0): 24, (1, 1): 1700, (2, 0): 3888, (3, 0): None, (4, 0): None, (5, 0): None, (5, 1): None}
