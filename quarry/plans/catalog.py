@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -107,6 +107,20 @@ def iou_match(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
+def _row_boxes(spark, d, shift):
+    li = C.read(spark, d, "lineitem")
+    x, y, q = (F.col("l_partkey") % 37).cast("double") * 10 + shift, (F.col("l_suppkey") % 11).cast("double") * 10 + shift, F.col("l_quantity")
+    # line numbers repeat in an order; rows that agree in all of these have equal boxes
+    row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return li.select(F.col("l_orderkey").alias("page"), row.alias("id"), x.alias("x0"), y.alias("y0"), (x + q).alias("x1"), (y + q * 2).alias("y1"))
+
+
+def iou_match_rows(spark, d):
+    """As iou_match, with a box for every row of the table, so that the match grows with it."""
+    out = geometry.best_overlap(_row_boxes(spark, d, 0.0), _row_boxes(spark, d, 4.0), ["page"])
+    return out.withColumn("score", F.round("score", 6))
+
+
 def hamilton_allocation(spark, d):
     per = _pages(spark, d).join(C.read(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return quality.largest_remainder(per, ["source"], "doc_id", "total", F.lit(25)).select("source", "doc_id", "total", "quota")
@@ -191,7 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         outline, hierarchy_parent, subtree_end, page_ranges, hierarchy_path, block_owner, deepest_section, tree_coverage, tree_precision, tree_structure, tree_status, tree_statistics,
-        page_windows, overlap_trim, continued_runs, nearest_above, iou_match, hamilton_allocation, even_sample, confidence_index, version_pairs, version_diff, filled_drafts, key_changes, latest_event, event_windows, first_rule,
+        page_windows, overlap_trim, continued_runs, nearest_above, iou_match, iou_match_rows, hamilton_allocation, even_sample, confidence_index, version_pairs, version_diff, filled_drafts, key_changes, latest_event, event_windows, first_rule,
         normal_titles, roman_pages, roman_words, missing_words, title_similarity,
     )
 }
@@ -209,6 +223,7 @@ _WINDOWS = "windows AS (SELECT doc_id, CAST(i AS INTEGER) AS window, CAST(i * 4
 _HAM = "share AS (SELECT source, doc_id, total, 25 * total::DOUBLE / sum(total) OVER (PARTITION BY source) AS s FROM pages_of JOIN documents USING (doc_id)), ham AS (SELECT source, doc_id, total, CAST(floor(s) + CASE WHEN row_number() OVER (PARTITION BY source ORDER BY s - floor(s) DESC, doc_id) <= 25 - sum(floor(s)) OVER (PARTITION BY source) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM share)"
 _STATUS = lambda bad: f"CASE WHEN {bad} THEN 'FAIL' ELSE 'PASS' END AS status"
 _BOX = lambda name, s: f"{name} AS (SELECT page, id, x0, y0, x0 + q AS x1, y0 + q * 2 AS y1 FROM (SELECT l_orderkey % 997 AS page, l_linenumber AS id, min(CAST(l_partkey % 37 AS DOUBLE) * 10 + {s}) AS x0, min(CAST(l_suppkey % 11 AS DOUBLE) * 10 + {s}) AS y0, max(l_quantity) AS q FROM lineitem GROUP BY ALL))"
+_ROW_BOX = lambda name, s: f"{name} AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS id, CAST(l_partkey % 37 AS DOUBLE) * 10 + {s} AS x0, CAST(l_suppkey % 11 AS DOUBLE) * 10 + {s} AS y0, x0 + l_quantity AS x1, y0 + l_quantity * 2 AS y1 FROM lineitem)"
 _F = f"WITH {C.findings_sql('f1').strip()}, {C.findings_sql('f2', 2).strip()}"
 _KEYS = ", ".join(PAIR_KEYS)
 _VALUE = lambda i: f"CASE substr(token, {i}, 1) WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 WHEN 'm' THEN 1000 ELSE 0 END"
@@ -231,6 +246,7 @@ ORACLES: dict[str, str] = {
     "continued_runs": f"{_TREE}, c AS (SELECT doc_id, reading_order, label, CAST(reading_order % 5 + 1 AS INTEGER) AS value, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY doc_id ORDER BY reading_order) THEN 1 ELSE 0 END AS s FROM blocks), r AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY reading_order ROWS UNBOUNDED PRECEDING) AS run FROM c), m AS (SELECT doc_id, run, max(value) AS top FROM r GROUP BY ALL), b AS (SELECT doc_id, run, coalesce(sum(top) OVER (PARTITION BY doc_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM m) SELECT doc_id, reading_order, label, value, CAST(base + value AS BIGINT) AS absolute FROM r JOIN b USING (doc_id, run)",
     "nearest_above": f"{_TREE} SELECT doc_id, page_no, id, above FROM (SELECT t.doc_id, t.page_no, t.reading_order AS id, h.reading_order AS above, row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.reading_order ORDER BY CASE WHEN h.x0 < t.x1 AND t.x0 < h.x1 THEN 0 ELSE 1 END, h.bottom - t.top, h.reading_order) AS r FROM blocks t JOIN blocks h ON t.doc_id = h.doc_id AND t.page_no = h.page_no AND h.label = 'section_header' AND h.bottom >= t.top - 2 WHERE t.label = 'text') WHERE r = 1",
     "iou_match": f"WITH {_BOX('a', '0.0')}, {_BOX('b', '4.0')}, j AS (SELECT a.page, a.id, b.id AS match, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM a JOIN b USING (page)), k AS (SELECT page, id, match, i / (s - i) AS score FROM j WHERE s - i > 0 AND i / (s - i) >= 0.5) SELECT page, id, match, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY score DESC, match) AS r FROM k) WHERE r = 1",
+    "iou_match_rows": f"WITH {_ROW_BOX('a', '0.0')}, {_ROW_BOX('b', '4.0')}, j AS (SELECT a.page, a.id, b.id AS match, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM a JOIN b USING (page)), k AS (SELECT page, id, match, i / (s - i) AS score FROM j WHERE s - i > 0 AND i / (s - i) >= 0.5) SELECT page, id, match, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY score DESC, match) AS r FROM k) WHERE r = 1",
     "hamilton_allocation": f"{_TREE}, {_PAGES}, {_HAM} SELECT source, doc_id, total, quota FROM ham",
     "even_sample": f"{_TREE}, {_PAGES}, {_HAM}, n AS (SELECT doc_id, total, least(quota, total) AS n FROM ham), e AS (SELECT doc_id, total, n, unnest(range(0, n)) AS i FROM n WHERE n > 0) SELECT doc_id, CAST(least(CASE WHEN n = 1 THEN 1 ELSE round_even(1 + (total - 1)::DOUBLE * i / (n - 1), 0) END, total) AS BIGINT) AS page FROM e",
     "confidence_index": f"{_F} SELECT source, count(*) AS evaluated, CAST(sum(CASE WHEN result = 'FAIL' THEN CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS weighted, round(greatest(least(100.0::DOUBLE * (1.0::DOUBLE - sum(CASE WHEN result = 'FAIL' THEN CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END ELSE 0 END)::DOUBLE / count(*)), 100.0), 0.0), 6) AS score FROM f1 GROUP BY source",

@@ -41,3 +41,11 @@ def test_roman_words_are_whole(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_tree", lambda spark, d: spark.createDataFrame([(1, i, t) for i, t in enumerate(titles)], "doc_id long, pos int, title string"))
     got = {(r.pos, r.word): r.value for r in catalog.roman_words(spark, DIR).collect()}
     assert got == {(0, 0): 8, (1, 0): 24, (1, 1): 1700, (2, 0): 3888, (3, 0): None, (4, 0): None, (5, 0): None, (5, 1): None}
+
+
+def test_row_boxes_are_all_rows(spark):
+    """One box for each row, not for each of 997 pages and 7 numbers."""
+    n = catalog.C.read(spark, DIR, "lineitem").count()
+    assert catalog._row_boxes(spark, DIR, 0.0).select("page", "id").distinct().count() == n
+    pages = catalog.iou_match_rows(spark, DIR).select("page").distinct().count()
+    assert pages > 997
