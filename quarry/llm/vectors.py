@@ -3,8 +3,9 @@
 Only vectors with one label and dimension are compared.  Equal vectors form a class with one representative.
 Representatives are dealt to shards of bounded size; a graph is built for each, and every representative of the
 label searches every shard, in blocks of bounded size.  A search whose beam is full of links is widened, at last
-to the whole shard; every sixteenth query of a block is audited against all vectors of the shard, and the whole
-block's beam is widened until audited recall reaches ``RECALL``.  Cosines of what is found are taken in double
+to the whole shard; every sixteenth query of a block is audited against all vectors of the shard, and more of them,
+at last all, until ``POSITIVE`` have a link besides themselves.  The whole block's beam is widened until the mean
+recall of these queries reaches ``RECALL``.  Cosines of what is found are taken in double
 precision.  A task sends counts and a spanning forest of its links, so a cluster costs its size, not its square.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and those with a null label or
@@ -27,7 +28,7 @@ from .hnsw import Graph
 COSINE = 0.98
 SHARD = 8192
 BLOCK = 2048
-BEAM, RECALL, AUDIT = 32, 0.995, 16
+BEAM, RECALL, AUDIT, POSITIVE = 32, 0.995, 16, 32
 
 
 class Forest:
@@ -77,22 +78,44 @@ def found_links(g: Graph, x: np.ndarray, q: np.ndarray, cosine: float, width: in
             todo, w = todo[full], w * 4
 
 
-def search_block(g: Graph, x: np.ndarray, mult: np.ndarray, q: np.ndarray, cosine: float) -> tuple[np.ndarray, Forest, float]:
-    """Links of each query into the shard, counted with multiplicity; sets over queries and then shard places; recall."""
-    audit = np.arange(0, len(q), AUDIT)
-    true = q[audit] @ x.T >= cosine
+def audited(x: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Audited queries that have links besides themselves, and all their links (queries x shard places)."""
+    some, links, step, n = [], [], AUDIT, len(q)
+    while step:
+        new = np.arange(0, n, step) if step == AUDIT else np.arange(step, n, 2 * step)
+        for i in range(0, len(new), 64):
+            at = new[i : i + 64]
+            true = q[at] @ x.T >= cosine
+            here = np.flatnonzero(own[at] >= 0)
+            true[here, own[at[here]]] = False
+            some.append(at[true.any(axis=1)])
+            links.append(true[true.any(axis=1)])
+        if sum(map(len, some)) >= POSITIVE:
+            break
+        step //= 2
+    return np.concatenate([np.zeros(0, int), *some]), np.concatenate([np.zeros((0, len(x)), bool), *links])
+
+
+def search_block(g: Graph, x: np.ndarray, mult: np.ndarray, q: np.ndarray, cosine: float, own: np.ndarray | None = None) -> tuple[np.ndarray, Forest, float]:
+    """Links of each query into the shard, counted with multiplicity; sets over queries and then shard places; mean recall.
+
+    own: the place of each query itself in the shard, or -1.
+    """
+    own = np.full(len(q), -1) if own is None else own
+    audit, true = audited(x, q, own, cosine)
+    is_audit = np.full(len(q), -1)
+    is_audit[audit] = np.arange(len(audit))
     width = BEAM
     while True:
-        n, sets, hits = np.zeros(len(q), np.int64), Forest(len(q) + len(x)), 0
-        is_audit = np.full(len(q), -1)
-        is_audit[audit] = np.arange(len(audit))
+        n, sets, hits = np.zeros(len(q), np.int64), Forest(len(q) + len(x)), np.zeros(len(audit))
         for a, b in found_links(g, x, q, cosine, width):
             n += np.bincount(a, mult[b], len(q)).astype(np.int64)
             sets.link(a, len(q) + b)
-            own = is_audit[a] >= 0
-            hits += int(true[is_audit[a[own]], b[own]].sum())
-        recall = hits / max(1, int(true.sum()))
-        if not true.any() or recall >= RECALL or 2 * width >= len(x):
+            known = is_audit[a] >= 0
+            i = is_audit[a[known]]
+            hits += np.bincount(i, true[i, b[known]], len(audit))
+        recall = float((hits / true.sum(axis=1)).mean()) if len(audit) else 1.0
+        if recall >= RECALL or 2 * width >= len(x):
             return n, sets, recall
         width *= 2
 
@@ -133,7 +156,9 @@ def near_vectors(df: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vec
             g = Graph.load(left.column("graph")[0].as_py())
             right = right.sort_by("rep")
             q, reps = _unit(_matrix(right.column("v"))), right.column("rep").to_numpy()
-            n, sets, _ = search_block(g, x, mult, q, cosine)
+            place_of = {k: i for i, k in enumerate(shard_reps.tolist())}
+            own = np.array([place_of.get(k, -1) for k in reps.tolist()], int)
+            n, sets, _ = search_block(g, x, mult, q, cosine, own)
             names = np.concatenate((reps, shard_reps))
             moved = np.flatnonzero(sets.root != np.arange(len(names)))
             a, b = names[moved], names[sets.root[moved]]

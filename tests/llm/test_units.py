@@ -221,3 +221,27 @@ def test_chain_feeds_earlier_probabilities():
     chain = toxicity.fit_chain(doc, ids, np.ones(n), {"a": y1, "b": y2}, np.arange(n) % 5)
     assert [len(m["e"]) for m in chain] == [0, 1]
     assert zlib.crc32(b"") == 0
+
+
+def test_audit_finds_links_that_a_narrow_beam_misses():
+    """Links of queries outside the first sample only, and isolated links beside a hot cluster."""
+    rng = np.random.default_rng(3)
+    x = vectors._unit(rng.normal(size=(600, 24)))
+    x[:300] = vectors._unit(x[0] + rng.normal(0, 0.005, (300, 24)))
+
+    class Narrow:  # sees nothing but the first 300 places below a width of 128
+        def search(self, q, w):
+            sims = q @ x.T
+            if w < 128:
+                sims = np.where(np.arange(600) < 300, sims, -1)
+            ids = np.argsort(-sims, axis=1)[:, :w]
+            return ids, np.take_along_axis(sims, ids, 1)
+
+    for hot in (0, 16):
+        q = vectors._unit(rng.normal(size=(160, 24)))
+        q[:hot] = x[:hot]
+        for i in (5, 48, 77):
+            if hot or i % 16:
+                q[i] = x[400 + i]
+        n, *_ = vectors.search_block(Narrow(), x, np.ones(600, np.int64), q, 0.98)
+        assert (n == (q @ x.T >= 0.98).sum(axis=1)).all() and n[77] == 1
