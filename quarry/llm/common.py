@@ -10,8 +10,11 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,21 @@ def _clean() -> None:
             _delete(spark, path)
 
 
+# ------------------------------------------------------------------------------------------------- batches
+
+CHUNK = 1 << 20
+
+
+def sized(batch: pa.RecordBatch, column: int, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about ``limit`` bytes together, at least one row each."""
+    if not batch.num_rows:
+        return
+    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cut = np.flatnonzero(np.diff(n // limit)) + 1
+    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, z - a)
+
+
 # ---------------------------------------------------------------------------------------------- components
 
 

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .minhash import sized
+from .common import Scratch, sized
 
 BUCKETS = 1 << 14
 BLOCK = 64  # languages summed in one aggregate, or counted by one task before it hands on what it has

@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _GOLD, Rolling, Scratch, components, mix, words
+from .common import _GOLD, Rolling, Scratch, components, mix, sized, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-CHUNK = 1 << 20
 PAIRED, BLOCK = 16, 1024  # larger buckets are compared as matrices, in blocks of members
 
 
@@ -114,18 +113,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (total - common)) if total > common else 0.0
 
 
-def sized(batch: pa.RecordBatch, column: int, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about ``limit`` bytes together, at least one row each."""
-    if not batch.num_rows:
-        return
-    import pyarrow.compute as pc
-
-    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    cut = np.flatnonzero(np.diff(n // limit)) + 1
-    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-        yield batch.slice(a, z - a)
-
-
 def sign(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_bands: int, rows: int) -> DataFrame:
     """doc_id, digest (of the whole text) and bands, null for texts without words."""
 

@@ -1,40 +1,44 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation, and a unigram base.
 
 Tokens are runs of bytes other than ASCII white space, A-Z lowered, and one end for each document.  Counts of all
-tokens, and of pairs among the ``classes`` most frequent ones plus a rest class, are taken over every training
-document.  The model gives s(w | v) = q_w . (C r_v) + b_w for the class of a token after the class of the one before
-it, trained in numpy from the pair counts: each step tells observed pairs from draws of the unigram noise.  One
-product of all contexts with all outputs then normalises it, so that the classes' probabilities sum to 1 after every
-context.  A token of the rest class has the class's probability times (c + 1) / (N_rest + V_rest + 1), with one more
-unit for all that training never saw.
+tokens are taken over every training document.  The ``head`` most frequent tokens that occur twice or more have vectors
+of their own, as context and as output: that many vectors is what a task's memory is asked to hold.  All other tokens
+are dealt by hash to cells, whose number grows with the root of how many there are; a cell has vectors like a word, and
+its members share it by count, (c + 1) / (N_cell + V_cell + 1), with one more unit for all that training never saw.  So
+every token has its probability, and they sum to 1 after every context (``logbilinear``).
 
-Only the ``head`` most frequent tokens are sent to tasks, a fixed number; counts of all others are joined.
+Training passes once over every training text, in ``rounds`` slices.  In a round each task makes its steps on its own
+texts, and what the tasks learnt is averaged row by row, weighted by how often a row was moved; so steps and draws
+grow with the corpus, and no task sees more than its share.  The head and the vectors are broadcast: at most ``head``
+tokens of at most ``TOKEN_BYTES`` bytes and 2 * WIDTH + 1 floats a token.  Counts of all other tokens are joined.
 
 Edge cases: null text is one end token; a null doc_id reads as the empty text for the split; repeated rows are
-scored alike; without training tokens all counts are 0 and the score equals the base; an empty table gives no rows;
-other columns are ignored.
+scored alike; tokens of any length count, those over ``TOKEN_BYTES`` in cells; without training tokens all counts are 0
+and the score equals the base; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from . import logbilinear as L
+from .common import Scratch, sized
 
 HEAD = 150_000
-CLASSES = 1024
-WIDTH = 32
-NOISE = 10
-STEPS, BATCH, DRAWS = 1000, 2048, 128
+TOKEN_BYTES = 256
+ROUNDS = 2
+TRAINER_TOKENS = 8_000_000  # what one task trains on in a round, if there is enough
+FAN_IN = 64  # tasks whose moves are averaged at once
 HELD_OUT, FOLDS = 2, 7
 FLUSH = 400_000
-END = b""  # no word is empty
+END = L.END
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -55,170 +59,160 @@ def token_counts(train: DataFrame) -> DataFrame:
         for b in batches:
             for text in b.column(0):
                 seen.update(_tokens(text.as_py()))
+                if len(seen) > FLUSH:
+                    yield out()
             seen[END] += b.num_rows
-            if len(seen) > FLUSH:
-                yield out()
         if seen:
             yield out()
 
     return train.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(train: DataFrame, classes: dict[bytes, int], rest: int) -> DataFrame:
-    """a, b, n: how often class b follows class a; a text begins after the end."""
+@dataclass
+class Model:
+    symbols: L.Symbols
+    vectors: dict[str, np.ndarray]
+    log_counts: np.ndarray  # log10(c + 1) of words, by symbol; 0 of cells
+    n_all: int
+    v_all: int
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, total = rest + 1, None
-        for b in batches:
-            if total is None:
-                total = np.zeros(size * size, np.int64)
-            for at in range(0, b.num_rows, 500):
-                ids = [classes[END]]
-                for text in b.column(0).slice(at, 500).to_pylist():
-                    ids += [classes.get(w, rest) for w in _tokens(text)]
-                    ids.append(classes[END])
-                x = np.array(ids, np.int64)
-                total += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
-        if total is not None and (k := np.flatnonzero(total)).size:
-            yield pa.RecordBatch.from_arrays([pa.array(k // size, pa.int32()), pa.array(k % size, pa.int32()), pa.array(total[k])], ["a", "b", "n"])
-
-    return train.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def train_nce(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, *, width: int = WIDTH, noise: int = NOISE, steps: int = STEPS, batch: int = BATCH, seed: int = 5) -> dict[str, np.ndarray]:
-    """Fit r, C, q and bias to pair counts; Adam on minibatches drawn in proportion to the counts."""
-    rng = np.random.default_rng(seed)
-    uni = np.bincount(b, weights=n, minlength=size) + 1.0
-    uni /= uni.sum()
-    cum, cum_uni = np.cumsum(n / n.sum()), np.cumsum(uni)
-    p = {"r": rng.normal(0, 0.1, (size, width)), "C": np.eye(width), "q": rng.normal(0, 0.1, (size, width)), "bias": np.log(uni)}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    log_noise = np.log(noise * uni)
-    for step in range(1, steps + 1):
-        i = np.minimum(np.searchsorted(cum, rng.random(batch)), len(n) - 1)
-        k = np.minimum(np.searchsorted(cum_uni, rng.random(DRAWS)), size - 1)  # shared by the batch, weighted to ``noise`` each
-        ctx, hit = a[i], b[i]
-        raw = p["r"][ctx]
-        h = raw @ p["C"]
-        good = np.einsum("ij,ij->i", h, p["q"][hit]) + p["bias"][hit] - log_noise[hit]
-        bad = h @ p["q"][k].T + p["bias"][k] - log_noise[k]
-        up = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # d log sigma(good)
-        down = -(1 / (1 + np.exp(-np.clip(bad, -30, 30)))) * (noise / len(k))
-        gh = up[:, None] * p["q"][hit] + down @ p["q"][k]
-        g = {x: np.zeros_like(y) for x, y in p.items()}
-        np.add.at(g["q"], hit, up[:, None] * h)
-        np.add.at(g["q"], k, down.T @ h)
-        g["bias"] = np.bincount(hit, up, size) + np.bincount(k, down.sum(axis=0), size)
-        np.add.at(g["r"], ctx, gh @ p["C"].T)
-        g["C"] = raw.T @ gh
-        rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
-        for x in p:
-            d = g[x] / batch
-            m[x] = 0.9 * m[x] + 0.1 * d
-            v[x] = 0.999 * v[x] + 0.001 * d * d
-            p[x] += rate * (m[x] / (1 - 0.9**step)) / (np.sqrt(v[x] / (1 - 0.999**step)) + 1e-8)
-    return p
-
-
-def log_table(p: dict[str, np.ndarray], block: int = 256) -> np.ndarray:
-    """log10 probabilities, a row for each context, from batched matrix products; rows sum to 1."""
-    h, out = p["r"] @ p["C"], []
-    for at in range(0, len(h), block):
-        s = h[at : at + block] @ p["q"].T + p["bias"]
-        top = s.max(axis=1, keepdims=True)
-        out.append((s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))) / np.log(10))
-    return np.concatenate(out)
-
-
-def score(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, classes: int = CLASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, of each row."""
-    fold = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "utf-8")) % FOLDS
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (fold == HELD_OUT).alias("held_out"))
-    counts = scratch.put(token_counts(base.where("not held_out")))
-    n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).collect()[0]
+
+def _vocabulary(counts: DataFrame, n_all: int, v_all: int, head: int) -> Model:
     level = F.floor(F.log2("n") * 64)
-    sizes, cut, many = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect(), None, 0  # a few thousand levels at most
+    wanted = (F.col("n") > 1) & (F.octet_length("token") <= TOKEN_BYTES)
+    sizes, cut, many = counts.where(wanted).groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect(), None, 0  # a few thousand levels at most
     for x in sizes:
         many += x[1]
         if many > head:
             break
         cut = x[0]
-    top = [] if cut is None else counts.where(level >= cut).collect()  # at most ``head`` rows
-    known = {bytes(r[0]): int(r[1]) for r in sorted(top, key=lambda r: (-r[1], bytes(r[0])))}
-    table = rest_log = None
-    by_class: dict[bytes, int] = {}
-    if known:
-        names = [END, *[t for t in known if t != END][: classes - 1]] if END in known else [END, *list(known)[: classes - 1]]
-        by_class, rest = {t: i for i, t in enumerate(names)}, len(names)
-        end_n = known.get(END) or int(counts.where(F.length("token") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0])
-        rest_n = n_all - sum(known.get(t, 0) for t in names if t != END) - end_n
-        rest_log = float(np.log10(rest_n + (v_all - len(names)) + 1))
-        pairs = pair_counts(base.where("not held_out"), by_class, rest)
-        table = _train(pairs, rest + 1)
-    weight = {t: float(np.log10(n + 1)) for t, n in known.items()}
-    divisor = float(np.log10(n_all + v_all + 1))
-    scored = scratch.put(_score_head(base, weight, by_class, table))
-    tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.token").alias("token"), F.col("t.n").alias("times"))
-    added = tail.join(counts, "token").groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
-    out = scored.drop("tail").join(added, "rid", "left").withColumn("logs", F.coalesce("logs", F.lit(0.0)))
-    base_score = F.col("log_counts") + F.col("logs") - F.col("n_tokens") * F.lit(divisor)
-    model = F.col("log_model") + F.col("logs") - F.col("n_rest") * F.lit(rest_log or 0.0)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base_score.alias("base_score"), (model if known else base_score).alias("score"))
+    own = (F.octet_length("token") == 0) | (wanted & (level >= cut) if cut is not None else F.lit(False))
+    top = counts.where(own).toArrow()  # at most ``head`` rows and the end
+    words = {bytes(t): n for t, n in zip(top.column("token").to_pylist(), top.column("n").to_pylist(), strict=True)}
+    cells = 1 << max(4, int(np.ceil(np.log2(max(1, v_all - len(words))) / 2)))
+    n, v = np.zeros(cells), np.zeros(cells)
+    for r in counts.where(~own).groupBy((F.crc32("token") % cells).alias("cell")).agg(F.sum("n"), F.count("*")).collect():  # a row a cell
+        n[r[0]], v[r[0]] = r[1], r[2]
+    s = L.Symbols(words, n, v)
+    logs = np.zeros(len(s.p))
+    for w, i in s.at.items():
+        logs[i] = np.log10(words[w] + 1)
+    return Model(s, L.start(s), logs, n_all, v_all)
+
+
+_MOVES = "name string, block int, task int, rows binary, weights binary, moves binary"
+
+
+def _round(train: DataFrame, model: Model, shared, number: int, trainers: int) -> None:
+    """One slice of the texts: every task's steps, and their average."""
+    spark = train.sparkSession
+    vectors = spark.sparkContext.broadcast(model.vectors)
+    width = {k: v.shape[1] for k, v in model.vectors.items()}
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        s, task = shared.value, TaskContext.get().partitionId()
+        t = L.Trainer(vectors.value, s, 7919 * number + task)
+        for batch in batches:
+            for b in sized(batch, 0, 1 << 18):
+                ids, at, _ = L.laid_out([s.ids(_tokens(x)) for x in b.column(0).to_pylist()], s.end)
+                t.text(ids, at)
+        c = list(zip(*L.deltas(vectors.value, t), strict=True))
+        if c:
+            yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1], pa.int32()), pa.array([task] * len(c[0]), pa.int32()), *(pa.array(x, pa.binary()) for x in c[2:])], [x.split()[0] for x in _MOVES.split(", ")])
+
+    def average(table: pa.Table) -> pa.Table:
+        name = table.column("name")[0].as_py()
+        parts = list(zip(*(table.column(k).to_pylist() for k in ("rows", "weights", "moves")), strict=True))
+        rows, weights, moves = L.merged(parts, width[name])
+        one = table.slice(0, 1)
+        return pa.table({"name": one.column("name"), "block": one.column("block"), "task": one.column("task"), "rows": pa.array([rows], pa.binary()), "weights": pa.array([weights], pa.binary()), "moves": pa.array([moves], pa.binary())})
+
+    moves = train.select("text").coalesce(trainers).mapInArrow(learn, _MOVES)
+    while True:
+        groups = -(-trainers // FAN_IN)
+        moves = moves.groupBy("name", "block", (F.col("task") % groups).alias("part")).applyInArrow(average, _MOVES)
+        if groups == 1:
+            break
+        trainers = groups
+    for r in moves.toArrow().to_pylist():  # the model itself
+        rows = np.frombuffer(r["rows"], "<u2").astype(np.int64) + L.BLOCK * r["block"]
+        model.vectors[r["name"]][rows] += np.frombuffer(r["moves"], "<f2").reshape(len(rows), -1).astype(np.float32)
+    vectors.unpersist()
 
-def _train(pairs: DataFrame, size: int) -> np.ndarray:
-    """Train where the pairs are, in one task: they are at most size x size rows, however large the corpus."""
 
-    def fit(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("b").to_numpy(), table.column("a").to_numpy()))
-        a, b, n = (table.column(k).to_numpy()[order] for k in ("a", "b", "n"))
-        p = train_nce(a, b, n.astype(np.float64), size)
-        return pa.table({"name": list(p), "value": pa.array([x.astype("<f8").tobytes() for x in p.values()], pa.binary())})
+def fit(train: DataFrame, counts: DataFrame, *, head: int = HEAD, rounds: int = ROUNDS) -> Model | None:
+    """The model of ``train(doc_id, text)``, or None without a training token."""
+    n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).collect()[0]
+    if not n_all:
+        return None
+    model = _vocabulary(counts, int(n_all), int(v_all), head)
+    sc = train.sparkSession.sparkContext
+    shared = sc.broadcast(model.symbols)
+    trainers = max(sc.defaultParallelism, -(-int(n_all) // (TRAINER_TOKENS * rounds)))
+    for k in range(rounds):
+        part = train.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(rounds)) == k)
+        _round(part, model, shared, k, trainers)
+    shared.unpersist()
+    return model
+
+
+def score(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and mean_score (a token's) of each row."""
+    fold = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "utf-8")) % FOLDS
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (fold == HELD_OUT).alias("held_out"))
+    counts = scratch.put(token_counts(base.where("not held_out")))
+    return apply(base, counts, fit(base.where("not held_out"), counts, head=head, rounds=rounds), scratch)
 
-    got = {r[0]: np.frombuffer(bytes(r[1]), "<f8") for r in pairs.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "name string, value binary").collect()}
-    shape = {"r": (size, -1), "q": (size, -1), "C": (WIDTH, WIDTH), "bias": (size,)}
-    return log_table({k: x.reshape(shape[k]) for k, x in got.items()}).astype(np.float64)
+
+def apply(base: DataFrame, counts: DataFrame, model: Model | None, scratch: Scratch) -> DataFrame:
+    """Scores of ``base(doc_id, text, held_out)``."""
+    n_all, divisor = (model.n_all, float(np.log10(model.n_all + model.v_all + 1))) if model else (0, 0.0)
+    scored = scratch.put(_score_head(base, model))
+    tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.token").alias("token"), F.col("t.n").alias("times"))
+    added = tail.join(counts, "token").groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
+    out = scored.drop("tail").join(added, "rid", "left").withColumn("logs", F.coalesce("logs", F.lit(0.0)))
+    base_score = F.col("log_counts") + F.col("logs") - F.col("n_tokens") * F.lit(divisor)
+    value = F.col("log_model") + F.col("logs") if model else base_score
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        base_score.alias("base_score"), value.alias("score"), (value / F.col("n_tokens")).alias("mean_score"),
+    )
 
 
-def _score_head(base: DataFrame, weight: dict[bytes, float], by_class: dict[bytes, int], table: np.ndarray | None) -> DataFrame:
-    """What the tasks know: sums over frequent tokens, the model's class terms, and the counts of all other tokens."""
+def _score_head(base: DataFrame, model: Model | None) -> DataFrame:
+    """What the tasks know: sums over words, the model's terms, and the counts of all tokens in cells."""
     kind = dict(base.dtypes)["doc_id"]
-    spark = base.sparkSession
-    rest = len(by_class)
-    shared = spark.sparkContext.broadcast((weight, by_class, table))
+    shared = base.sparkSession.sparkContext.broadcast(model)
     entry = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-    names = ["rid", "doc_id", "held_out", "n_tokens", "n_head", "n_rest", "log_counts", "log_model", "tail"]
+    names = ["rid", "doc_id", "held_out", "n_tokens", "n_head", "log_counts", "log_model", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        weight, by_class, table = shared.value
-        flat = table.ravel() if table is not None else np.zeros(1)
+        model = shared.value
         rid = TaskContext.get().partitionId() << 40
-        logs, cls, size = weight.get, by_class.get, rest + 1
+        if model:
+            s = model.symbols
+            word = np.ones(len(s.p), bool)
+            word[s.cells] = False
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                b = batch.slice(at, 300)
-                rows, ids, n_ids = [], [], []
-                for text in b.column(1).to_pylist():
-                    toks = _tokens(text)
-                    toks.append(END)
-                    have = [logs(t, -1.0) for t in toks]
-                    tail = Counter([t for t, x in zip(toks, have, strict=True) if x < 0]) if -1.0 in have else {}
-                    missing = sum(tail.values())
-                    c = [cls(t, rest) for t in toks]
-                    ids += [0, *c]
-                    n_ids.append(len(c) + 1)
-                    rows.append((len(toks), len(toks) - missing, c.count(rest), sum(have) + missing, sum([x for x, k in zip(have, c, strict=True) if k == rest and x >= 0]), [{"token": t, "n": n} for t, n in tail.items()]))
-                x = np.array(ids, np.int64)
-                step = np.zeros(len(x))
-                step[1:] = flat[x[:-1] * size + x[1:]] if table is not None else 0.0
-                starts = np.cumsum([0, *n_ids[:-1]])
-                step[starts] = 0.0
-                sums = np.add.reduceat(step, starts)
-                c = list(zip(*rows, strict=True))
+            for b in sized(batch, 1, 1 << 18):
+                toks = [_tokens(x) for x in b.column(1).to_pylist()]
+                n = np.array([len(t) + 1 for t in toks], np.int64)
+                tails: list[list[dict]] = [[]] * b.num_rows
+                known, logs, value = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows)
+                if model:
+                    ids, at, first = L.laid_out([s.ids(t) for t in toks], s.end)
+                    y = ids[at]
+                    value = np.add.reduceat(L.log_probs(model.vectors, s, ids, at) + s.own[y], first)
+                    known = np.add.reduceat(word[y].astype(np.int64), first)
+                    logs = np.add.reduceat(model.log_counts[y], first)
+                    have = s.at
+                    tails = [[{"token": k, "n": v} for k, v in Counter([w for w in t if w not in have]).items()] if k < m else [] for t, k, m in zip(toks, known.tolist(), n.tolist(), strict=True)]
                 rid_now = pa.array(np.arange(rid, rid + b.num_rows))
                 rid += b.num_rows
-                yield pa.RecordBatch.from_arrays([rid_now, b.column(0), b.column(2), *(pa.array(k, pa.int64()) for k in c[:3]), pa.array(c[3], pa.float64()), pa.array(sums + np.array(c[4])), pa.array(c[5], entry)], names)
+                yield pa.RecordBatch.from_arrays([rid_now, b.column(0), b.column(2), pa.array(n), pa.array(known), pa.array(logs), pa.array(value), pa.array(tails, entry)], names)
 
-    return base.select("doc_id", "text", "held_out").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, n_rest long, log_counts double, log_model double, tail array<struct<token:binary,n:long>>")
+    return base.select("doc_id", "text", "held_out").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, log_counts double, log_model double, tail array<struct<token:binary,n:long>>")

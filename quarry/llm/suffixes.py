@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Shard, repeats
-from .common import _GOLD, Rolling, Scratch, mix
-from .minhash import sized
+from .common import _GOLD, Rolling, Scratch, mix, sized
 
 DEPTH = 200
 GRAM = 32
