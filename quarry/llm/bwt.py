@@ -5,8 +5,9 @@ keeps the transform and its last-to-first map.  ``repeats`` merges any number of
 shards one after the other and refines the interleave; step h + 1 takes the suffixes in the order of their first
 h bytes, moves each to the suffix one byte longer (the last-to-first map) and groups them stably by that byte
 (the transform).  Groups are intervals with a common prefix of h bytes, so the step in which two neighbours part
-is their longest common prefix.  Groups of one are final and leave the work.  What is left after ``depth`` steps
-are the repeated intervals.  No suffix is compared with another of a different shard.
+is their longest common prefix.  A string may stand for several equal ones; a group of one that stands for one
+leaves the work, and a group of one that stands for more is repeated as far as it goes.  What is left after ``depth``
+steps are the other repeated intervals.  No suffix is compared with another of a different shard.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import numpy as np
 class Shard:
     """The transform of strings: ``last`` (byte before each suffix, -1 at a string's start), ``lf`` and ``at``."""
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[bytes], times: list[int] | None = None):
+        """times: how many equal strings each stands for."""
+        self.times = np.minimum(np.array(times if times is not None else [1] * len(strings), np.int64), 2)
         n = [len(s) for s in strings]
         size = sum(n) + len(n)
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
@@ -57,21 +60,31 @@ class Shard:
         self.lf = np.full(size, -1, np.int32)
         self.lf[place[inner]] = place[np.flatnonzero(inner) - 1]
 
+    def strings(self) -> np.ndarray:
+        """The string of each suffix, by rank."""
+        return np.searchsorted(self.starts, self.at, side="right") - 1
+
     def offsets(self) -> np.ndarray:
         """Offset of each suffix in its string, by rank."""
-        return self.at - self.starts[np.searchsorted(self.starts, self.at, side="right") - 1]
+        return self.at - self.starts[self.strings()]
+
 
+def repeats(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each shard the string, offset and common prefix of every suffix whose first ``depth`` bytes occur again.
 
-def repeats(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each shard the string and offset of every suffix whose first ``depth`` bytes occur again in the merge."""
+    The common prefix is ``depth``, or the step at which the suffix was alone and stood for several strings.
+    """
     sizes = [len(s.last) for s in shards]
     base = np.cumsum(sizes) - sizes
     last = np.concatenate([s.last for s in shards])
     lf = np.concatenate([np.where(s.lf >= 0, s.lf + b, -1) for s, b in zip(shards, base, strict=True)]).astype(np.int32)
+    text = np.concatenate([s.at for s in shards])
+    several = np.concatenate([s.times[s.strings()] > 1 for s in shards])
     # Ranks in the order of the interleave; a window of ``depth`` bytes grows leftwards from the suffix at its end.
     here = np.concatenate([b + np.flatnonzero(s.offsets() >= depth) for s, b in zip(shards, base, strict=True)]).astype(np.int32)
     group = np.zeros(len(here), np.int32)
-    for _ in range(depth):
+    found: list[tuple[np.ndarray, int]] = []
+    for step in range(1, depth + 1):
         c = last[here]
         ok = c >= 0
         here, group, c = lf[here[ok]], group[ok], c[ok].astype(np.uint8)
@@ -81,12 +94,18 @@ def repeats(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarra
             break
         new = np.append(True, (c[1:] != c[:-1]) | (group[1:] != group[:-1]))
         alone = new & np.append(new[1:], True)
-        keep = ~alone
+        if step < depth and alone.any():
+            found.append((here[alone & several[here]], step))
+        keep = ~alone if step < depth else ~alone | several[here]
         here, group = here[keep], np.cumsum(new, dtype=np.int32)[keep]
+    found.append((here, depth))
+    rank = np.concatenate([x for x, _ in found])
+    common = np.repeat([n for _, n in found], [len(x) for x, _ in found])
+    owner = np.searchsorted(base, rank, side="right") - 1
+    at = text[rank].astype(np.int64) - (depth - common)  # the window's start, where the refinement stopped early
     out = []
-    owner = np.searchsorted(base, here, side="right") - 1
     for k, s in enumerate(shards):
-        offset = s.at[here[owner == k] - base[k]].astype(np.int64)
-        string = np.searchsorted(s.starts, offset, side="right") - 1
-        out.append((string, offset - s.starts[string]))
+        mine = owner == k
+        string = np.searchsorted(s.starts, at[mine], side="right") - 1
+        out.append((string, at[mine] - s.starts[string], common[mine]))
     return out

@@ -22,12 +22,14 @@ _LEFT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (as in local tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="scratch-")
             sc.setCheckpointDir(base)
             spark.conf.set("spark.checkpoint.dir", base)
@@ -39,7 +41,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
         _LEFT.append((spark, self.root))
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -47,12 +48,12 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            if path := self.paths.pop(id(df), None):
+            if path := getattr(df, "_scratch_path", None):
                 _delete(self.spark, path)
 
 
@@ -87,15 +88,16 @@ def sized(batch: pa.RecordBatch, column: int, limit: int = CHUNK) -> Iterator[pa
 # ---------------------------------------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as ``(node, component)``, the smallest id reachable.
 
     Alternating large-star and small-star steps; every step is a pre-aggregated minimum and a join, so a hub
-    with a third of all edges is split like any skewed join.  Only nodes that have an edge are returned.
+    with a third of all edges is split like any skewed join.  Every round but the last makes stars of what is left, so
+    rounds grow with the logarithm of the longest chain.  Only nodes that have an edge are returned.
     """
     e = scratch.put(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -108,8 +110,6 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 40) -> Data
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError("components did not converge")
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

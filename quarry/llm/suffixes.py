@@ -2,13 +2,18 @@
 
 Partition.  Every window of ``depth`` bytes has an anchor, its k-gram of least hash (the leftmost on ties), which
 depends on the window's bytes alone; so equal windows meet under equal anchors.  Neighbouring windows with the same
-anchor occurrence form one segment.  Segments are counted by (anchor, content): equal segments repeat as a whole,
-anchors that occur once need no more work, and only different segments with one anchor go on.
+anchor occurrence form one segment.  Anchors that start one window only need no more work.  Equal segments (by a
+128-bit hash of their bytes) become one that stands for several, and all that is left goes to the merge.
 
-Method.  Those are dealt by anchor into tasks of bounded size; each task sorts the suffixes of its shards, and
+Method.  Segments are dealt by anchor into tasks of bounded size; each task sorts the suffixes of its shards, and
 merges the shards' Burrows-Wheeler transforms by interleave refinement (``bwt``) into common prefixes and repeated
-intervals.  An anchor with more different segments than a task should hold is dealt by whole windows instead, which
-are counted with map-side sums.  All three give the same windows; nothing is capped or sampled.
+intervals.
+
+Hot anchors.  Where the different segments of one anchor exceed ``HOT_BYTES``, they are cut by where the anchor stands
+in a window: windows with the anchor at one of ``SPANS[0]`` neighbouring places share a core of bytes, and equal windows
+have equal cores, so (anchor, place, core) deals them further; what is still hot is cut again to single windows, where
+equal keys mean equal strings.  Pieces go through the same merge, and its intervals are carried back to the segments.
+So no group is larger than a task should hold, and nothing is capped or sampled.
 
 Edge cases: null text is empty; texts shorter than ``depth`` keep all bytes; null and repeated doc_ids are rows like
 others, each judged against all; invalid UTF-8 cannot occur in strings; an empty table gives no rows; other
@@ -22,58 +27,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Shard, repeats
-from .common import _GOLD, Rolling, Scratch, mix, sized
+from .common import CHUNK, Rolling, Scratch, sized
 
 DEPTH = 200
 GRAM = 32
 TASK_BYTES = 1 << 20
 SHARD_BYTES = 1 << 18
-MANY_SEGMENTS = 4000
-CHUNK = 1 << 20
+HOT_BYTES = 1 << 19
+SPANS = (16, 1)  # places of the anchor that pieces of a hot anchor share, level by level
 LONG = 1 << 22  # longer texts are read in overlapping parts
 
 
-def segments(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """anchor, content hash, start and length of the segments of one buffer of at least ``depth`` bytes.
-
-    A segment of length n starts n - depth + 1 windows.
-    """
-    roll = Rolling(data, 5)
-    i = np.arange(len(data) - gram + 1)
-    key = roll.ranges(i, i + gram)
-    # the least hash in each window of depth - gram + 1 grams: high bits of the hash, then the place
+def _least(key: np.ndarray, width: int) -> np.ndarray:
+    """Where the least key of each ``width`` neighbouring keys stands, the leftmost on ties."""
+    # high bits of the key, then the place
     bits = max(1, int(len(key)).bit_length())
     packed = (key >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64)
-    width, low, have = depth - gram + 1, packed, 1
+    low, have = packed, 1
     while have < width:
         step = min(have, width - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    at = (low & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (low & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def segments(data: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """anchor, start, length and place of the anchor, of the segments of one buffer of at least ``depth`` bytes.
+
+    A segment of length n starts n - depth + 1 windows.
+    """
+    i = np.arange(len(data) - gram + 1)
+    key = Rolling(data, 5).ranges(i, i + gram)
+    at = _least(key, depth - gram + 1)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     length = np.diff(np.append(first, len(at))) + depth - 1
-    content = roll.ranges(first, first + length)
-    return key[at[first]], mix(content ^ (at[first] - first).astype(np.uint64) * _GOLD), first, length
+    return key[at[first]], first, length, at[first] - first
 
 
-def _parts(raw: bytes, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+def _hashes(parts: list[bytes]) -> np.ndarray:
+    """128 bits of each string, as two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
+
+
+def _parts(raw: bytes, depth: int) -> Iterator[tuple[int, bytes]]:
     """Overlapping parts of a text, so that memory is bounded; each window lies in exactly one."""
-    data = np.frombuffer(raw, np.uint8)
-    for lo in range(0, max(1, len(data) - depth + 1), LONG):
-        if len(part := data[lo : lo + LONG + depth - 1]) >= depth:
+    for lo in range(0, max(1, len(raw) - depth + 1), LONG):
+        if len(part := raw[lo : lo + LONG + depth - 1]) >= depth:
             yield lo, part
 
 
 def occurrences(base: DataFrame, depth: int, gram: int) -> DataFrame:
-    """doc, k, anchor, content, start, span, length, n: segments; runs of equal neighbours (periodic text) are one row.
-
-    Texts of one batch share one buffer, with windows over a text's end left out.
-    """
-    names = ["doc", "k", "anchor", "content", "start", "span", "length", "n"]
+    """doc, k, anchor, c1, c2, start, span, length, place, n: segments; runs of equal neighbours (periodic text) are one row."""
+    names = ["doc", "k", "anchor", "c1", "c2", "start", "span", "length", "place", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,16 +91,17 @@ def occurrences(base: DataFrame, depth: int, gram: int) -> DataFrame:
                 rows: list[list] = []
                 for i, text in enumerate(b.column(2).to_pylist()):
                     for lo, part in _parts(text.encode("utf-8", "replace"), depth):
-                        anchor, content, start, length = segments(part, depth, gram)
-                        new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])))
+                        anchor, start, length, place = segments(np.frombuffer(part, np.uint8), depth, gram)
+                        c = _hashes([part[x : x + n] for x, n in zip(start.tolist(), length.tolist(), strict=True)])
+                        new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (c[1:] != c[:-1]).any(axis=1)))
                         last = np.append(new[1:], len(anchor)) - 1
-                        rows.append([np.full(len(new), i), anchor[new].view(np.int64), content[new].view(np.int64), lo + start[new], (start + length)[last] - start[new], length[new], last - new + 1])
+                        rows.append([np.full(len(new), i), anchor[new].view(np.int64), c[new, 0], c[new, 1], lo + start[new], (start + length)[last] - start[new], length[new], place[new], last - new + 1])
                 if rows:
                     c = [np.concatenate(x) for x in zip(*rows, strict=True)]
                     at = pa.array(c[0])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(c[1]), pa.array(c[2]), *(pa.array(x, pa.int32() if j else pa.int64()) for j, x in enumerate(c[3:]))], names)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x) for x in c[1:5]), *(pa.array(x, pa.int32()) for x in c[5:])], names)
 
-    return base.where(F.octet_length("text") >= depth).select("doc", "k", "text").mapInArrow(run, "doc long, k long, anchor long, content long, start long, span int, length int, n int")
+    return base.where(F.octet_length("text") >= depth).select("doc", "k", "text").mapInArrow(run, "doc long, k long, anchor long, c1 long, c2 long, start long, span int, length int, place int, n int")
 
 
 def _runs(offsets: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
@@ -100,21 +111,25 @@ def _runs(offsets: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
         yield int(offsets[a]), int(offsets[z - 1]) + depth
 
 
+_MARKS = "anchor long, c1 long, c2 long, lo int, hi int"
+_KEY = ["anchor", "c1", "c2"]
+
+
 def merge_task(depth: int):
-    """Repeated intervals among the segments of one task, by merged transforms."""
+    """Repeated intervals among the strings (anchor, c1, c2, n, bytes) of one task, by merged transforms."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("anchor", "ascending"), ("content", "ascending")])
-        strings = table.column("bytes").to_pylist()
+        table = table.sort_by([(k, "ascending") for k in _KEY])
+        strings, times = table.column("bytes").to_pylist(), table.column("n").to_pylist()
         shards, cut, size = [], [0], 0
         for i, s in enumerate(strings, 1):
             size += len(s)
             if size >= SHARD_BYTES or i == len(strings):
-                shards.append(Shard(strings[cut[-1] : i]))
+                shards.append(Shard(strings[cut[-1] : i], times[cut[-1] : i]))
                 cut.append(i)
                 size = 0
         at, lo, hi = [], [], []
-        for first, (string, offset) in zip(cut[:-1], repeats(shards, depth), strict=True):
+        for first, (string, offset, _) in zip(cut[:-1], repeats(shards, depth), strict=True):
             order = np.lexsort((offset, string))
             string, offset = string[order], offset[order]
             ends = np.flatnonzero(np.append(np.diff(string) != 0, len(string) > 0))
@@ -125,56 +140,81 @@ def merge_task(depth: int):
                     lo.append(a)
                     hi.append(z)
                 begin = e + 1
-        took = table.select(["anchor", "content"]).take(pa.array(at, pa.int64()))
-        return pa.table({"anchor": took.column(0), "content": took.column(1), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
+        took = table.select(_KEY).take(pa.array(at, pa.int64()))
+        return pa.table([*took.columns, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], [*_KEY, "lo", "hi"])
 
     return run
 
 
-def _windows(cut: DataFrame, depth: int) -> DataFrame:
-    """anchor, content, offset and a 128-bit hash of each window of segments under very common anchors."""
+def _merged(strings: DataFrame, depth: int) -> DataFrame:
+    """Repeated intervals of ``strings(anchor, c1, c2, n, bytes)``, dealt by anchor into tasks."""
+    size = strings.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).collect()[0][0]
+    tasks = max(1, -(-int(size) // TASK_BYTES))
+    return strings.select(*_KEY, "n", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task")).groupBy("task").applyInArrow(merge_task(depth), _MARKS)
+
+
+def _pieces(strings: DataFrame, depth: int, span: int) -> DataFrame:
+    """Strings (anchor, c1, c2, place, n, bytes) cut where the anchor stands in a window, ``span`` places a piece.
+
+    up, u1, u2, lo: the string it is from and where; anchor: key of anchor, place and core; c1, c2: hash of the piece.
+    """
+    names = ["up", "u1", "u2", "lo", "anchor", "c1", "c2", "place", "n", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                raw = part.column(2).to_pylist()
-                n = np.array([len(r) - depth + 1 for r in raw])
-                first = np.cumsum([0, *map(len, raw[:-1])])
-                data = np.frombuffer(b"".join(raw), np.uint8)
-                own = np.repeat(np.arange(len(raw)), n)
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = first[own] + offset
-                h = [Rolling(data, seed).ranges(start, start + depth).view(np.int64) for seed in (21, 22)]
-                own = pa.array(own)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(offset, pa.int32()), pa.array(h[0]), pa.array(h[1])], ["anchor", "content", "lo", "h1", "h2"])
-
-    return cut.select("anchor", "content", "bytes").mapInArrow(run, "anchor long, content long, lo int, h1 long, h2 long")
+        for batch in batches:
+            for b in sized(batch, 5, 1 << 16):
+                own, lo, key, place, parts = [], [], [], [], []
+                for i, (anchor, p, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                    windows = len(raw) - depth + 1
+                    first = 0
+                    while first < windows:  # window w has the anchor at p - w
+                        low = (p - first) // span * span
+                        after = min(windows, p - low + 1)
+                        core = raw[p - low : p - low - span + 1 + depth]
+                        own.append(i)
+                        lo.append(first)
+                        place.append(p - first)
+                        key.append(xxhash.xxh3_64_intdigest(core, seed=xxhash.xxh3_64_intdigest(f"{anchor} {low}")))
+                        parts.append(raw[first : after - 1 + depth])
+                        first = after
+                at = pa.array(own, pa.int64())
+                c = _hashes(parts)
+                yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(3)), pa.array(lo, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(place, pa.int32()), b.column(4).take(at), pa.array(parts, pa.binary())], names)
+
+    return strings.select(*_KEY, "place", "n", "bytes").mapInArrow(run, "up long, u1 long, u2 long, lo int, anchor long, c1 long, c2 long, place int, n long, bytes binary")
+
+
+def _repeated(strings: DataFrame, scratch: Scratch, depth: int, spans: tuple[int, ...]) -> DataFrame:
+    """Repeated intervals of ``strings(anchor, c1, c2, place, n, bytes)``; strings of hot anchors go on as pieces."""
+    if not spans:
+        return _merged(strings, depth)
+    hot = strings.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > HOT_BYTES).select("anchor")
+    hot = scratch.put(hot)
+    if hot.isEmpty():
+        return _merged(strings, depth)
+    marks = _merged(strings.join(hot, "anchor", "left_anti"), depth)
+    pieces = scratch.put(_pieces(strings.join(hot, "anchor"), depth, spans[0]))
+    one = scratch.put(pieces.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.first("place").alias("place"), F.first("bytes").alias("bytes")))
+    again = one.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
+    inner = scratch.put(_repeated(scratch.put(one.join(again, "anchor")), scratch, depth, spans[1:]))
+    back = pieces.drop("bytes").withColumnRenamed("lo", "from").join(inner, _KEY)
+    return marks.unionByName(back.select(F.col("up").alias("anchor"), F.col("u1").alias("c1"), F.col("u2").alias("c2"), (F.col("lo") + F.col("from")).alias("lo"), (F.col("hi") + F.col("from")).alias("hi")))
 
 
 def covered(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, depth: int = DEPTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The texts (doc, k, text) and, for each (doc, k), the intervals of bytes that repeat (spans of lo, hi)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
-    seen = occurrences(base, depth, gram)
-    often = seen.groupBy("anchor").agg(F.sum("n").alias("total"), F.min("content").alias("a"), F.max("content").alias("z")).where("total > 1")
-    often = scratch.put(often.select("anchor", (F.col("a") != F.col("z")).alias("mixed")))
+    seen = scratch.put(occurrences(base, depth, gram))
+    often = scratch.put(seen.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor"))
     found = scratch.put(seen.join(often, "anchor"))
-    kinds = scratch.put(found.groupBy("anchor", "content", "mixed").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "k", "start")).alias("at"), F.first("length").alias("length")))
-    whole = kinds.where("n > 1").select("anchor", "content", F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi"))
-    many = kinds.where("mixed").groupBy("anchor").agg(F.count("*").alias("different"))
-    wanted = kinds.where("mixed").join(many, "anchor").select("at.*", "anchor", "content", "length", "different")
-    lists = wanted.groupBy("doc", "k").agg(F.collect_list(F.struct("start", "length", "anchor", "content", "different")).alias("segs"))
-    cut = scratch.put(_cut(base.join(lists, base.doc.eqNullSafe(lists.doc) & (base.k == lists.k)).select(base.text, "segs")))
-    few, lot = cut.where(F.col("different") <= MANY_SEGMENTS), cut.where(F.col("different") > MANY_SEGMENTS)
-    size = few.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).collect()[0][0]
-    tasks = max(1, -(-int(size) // TASK_BYTES))
-    merged = few.dropDuplicates(["anchor", "content"]).withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks))).groupBy("task").applyInArrow(merge_task(depth), "anchor long, content long, lo int, hi int")
-    windows = _windows(lot.dropDuplicates(["anchor", "content"]), depth)
-    twice = windows.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    counted = windows.join(twice, ["anchor", "h1", "h2"]).select("anchor", "content", "lo", (F.col("lo") + depth).alias("hi"))
-    marks = scratch.put(whole.unionByName(merged).unionByName(counted))
-    scratch.drop(often, kinds, cut)
-    spans = found.join(marks, ["anchor", "content"]).select("doc", "k", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.when(F.col("hi").isNull(), F.col("span")).otherwise(F.col("hi"))).alias("hi"))
+    scratch.drop(seen, often)
+    kinds = found.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min(F.struct("doc", "k", "start", "length", "place")).alias("at"))
+    lists = kinds.groupBy(F.col("at.doc").alias("doc"), F.col("at.k").alias("k")).agg(F.collect_list(F.struct("at.start", "at.length", "at.place", *_KEY, "n")).alias("segs"))
+    cut = scratch.put(_cut(base.join(lists, base.doc.eqNullSafe(lists.doc) & (base.k == lists.k)).select(base.text, "segs")).dropDuplicates(_KEY))
+    marks = scratch.put(_repeated(cut, scratch, depth, SPANS))
+    scratch.drop(cut)
+    # a run of equal neighbours is repeated as a whole if it is one of more than one, or if its one segment is in all
+    spans = found.join(marks, _KEY).select("doc", "k", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.when(F.col("n") > 1, F.col("span")).otherwise(F.col("hi"))).alias("hi"))
     spans = spans.groupBy("doc", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return base, spans
 
@@ -186,11 +226,12 @@ def _cut(df: DataFrame) -> DataFrame:
                 rows = []
                 for text, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     raw = text.encode("utf-8", "replace")
-                    rows += [(s["anchor"], s["content"], s["different"], raw[s["start"] : s["start"] + s["length"]]) for s in segs]
-                c = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], ["anchor", "content", "different", "bytes"])
+                    rows += [(s["anchor"], s["c1"], s["c2"], s["place"], s["n"], raw[s["start"] : s["start"] + s["length"]]) for s in segs]
+                c = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], [*_KEY, "place", "n", "bytes"])
 
-    return df.mapInArrow(run, "anchor long, content long, different long, bytes binary")
+    return df.mapInArrow(run, "anchor long, c1 long, c2 long, place int, n long, bytes binary")
 
 
 def _union(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -123,9 +123,9 @@ def brute_removed(texts, d):
     return out
 
 
-@pytest.mark.parametrize("many", [4000, 1])
-def test_repeats_against_brute_force(spark, docs, empty, many, monkeypatch):
-    monkeypatch.setattr(suffixes, "MANY_SEGMENTS", many)
+@pytest.mark.parametrize("hot", [1 << 19, 600, 0])
+def test_repeats_against_brute_force(spark, docs, empty, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_BYTES", hot)
     rows = documents()
     want = brute_removed([(r[1] or "").encode() for r in rows], 200)
     got = suffixes.deduplicated(docs, Scratch(spark, "t")).collect()
@@ -328,6 +328,22 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_vectors(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_vectors_that_repeat_an_id(spark):
+    """A repeated row is one vector; two vectors of one id are two, and one node."""
+    rows = [(5, [0.0, 1.0], 1), (5, [0.7, 0.7], 1), (6, [0.0, 1.0], 1), (6, [0.0, 1.0], 1), (9, [1.0, 0.0], 1), (9, [0.0, -1.0], 1), (7, [1.0, 0.01], 1), (8, [0.0, -2.0], 1), (4, [0.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, Scratch(spark, "t")).collect())
+    assert got == sorted([(5, 1, 5, True), (5, 0, 5, True), (6, 1, 5, False), (6, 1, 5, False), (9, 1, 7, False), (9, 1, 7, False), (7, 1, 7, True), (8, 1, 7, False), (4, 0, 4, True)])
+
+
+def test_audited_recall_is_told(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, (base[i % 40] + rng.normal(0, 0.01, 16)).tolist(), i % 2) for i in range(400)] + [(900, [1.0, 2.0], 7), (901, None, 0)]
+    got = {r.vec_id: r.audit_recall for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), Scratch(spark, "t"), audit=True).collect()}
+    assert len(got) == 402 and got[900] is None and got[901] is None and all(got[i] >= 0.99 for i in range(400))
+
+
 def test_archives(spark):
     big = "<html>" + "x" * 1200
     rows = [(i, f"http://h/{i}", big) for i in (5, 9, 7)] + [(1, None, None), (2, "u", ""), (3, "u r\nl", "small"), (4, "u", "small"), (6, "u", "é" * 700), (None, "n", big), (9, "u2", big), (8, "u", big + "y")]

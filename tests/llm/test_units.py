@@ -49,10 +49,25 @@ def test_merged_transforms_find_all_repeats(seed):
     for d in (1, 3, 8):
         cuts = sorted({0, len(strings), rng.randint(0, len(strings))})
         shards = [bwt.Shard(strings[a:z]) for a, z in zip(cuts[:-1], cuts[1:])]
-        got = {(a + int(i), int(j)) for a, (s, o) in zip(cuts[:-1], bwt.repeats(shards, d)) for i, j in zip(s, o)}
+        got = {(a + int(i), int(j)) for a, (s, o, n) in zip(cuts[:-1], bwt.repeats(shards, d)) for i, j in zip(s, o)}
         assert got == brute_repeats(strings, d)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_strings_that_stand_for_several(seed):
+    """Equal strings given once with a number are as good as given that often."""
+    rng = random.Random(seed)
+    strings = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(9)})
+    times = [rng.choice((1, 1, 2, 5)) for _ in strings]
+    for d in (1, 4, 9):
+        cut = rng.randint(1, len(strings) - 1)
+        shards = [bwt.Shard(strings[:cut], times[:cut]), bwt.Shard(strings[cut:], times[cut:])]
+        found = [(a + int(i), int(j), int(n)) for a, x in zip((0, cut), bwt.repeats(shards, d)) for i, j, n in zip(*x)]
+        many = [s for s, n in zip(strings, times) for _ in range(n)]
+        want = {(many[i], j) for i, j in brute_repeats(many, d)}
+        assert {(strings[i], j) for i, j, _ in found} == want and all(1 <= n <= d for *_, n in found)
+
+
 def test_shard_is_a_transform():
     shard = bwt.Shard([b"banana", b"ananas"])
     text = b"banana\0ananas\0"
@@ -67,7 +82,9 @@ def test_shard_is_a_transform():
 def test_segments_hold_each_window_once_under_a_content_anchor(text):
     depth, gram = 12, 4
     data = np.frombuffer(text, np.uint8)
-    anchor, content, start, length = suffixes.segments(data, depth, gram)
+    anchor, start, length, place = suffixes.segments(data, depth, gram)
+    grams = {int(a): text[s + p : s + p + gram] for a, s, p in zip(anchor, start, place)}
+    assert all(text[s + p : s + p + gram] == grams[int(a)] for a, s, p in zip(anchor, start, place))
     owned = [s + i for s, n in zip(start, length) for i in range(n - depth + 1)]
     assert owned == list(range(len(text) - depth + 1))
     by_window = collections.defaultdict(set)
@@ -186,7 +203,7 @@ def test_graph_search_finds_neighbours():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    g = hnsw.Graph.load(hnsw.Graph(x.astype(np.float32)).dump())
+    g = hnsw.Graph.load(hnsw.Graph(x.astype(np.float32)).dump(), x)
     ids, _ = g.search(x[:100].astype(np.float32), 48)
     true = np.argsort(-(x[:100] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(true.tolist(), ids.tolist())]) > 0.9
