@@ -136,14 +136,14 @@ class Graph:
         return beam(self.near[0], self.x, q, entry, width)
 
     def dump(self) -> bytes:
-        head = np.array([len(self.x), self.x.shape[1], len(self.near)], "<i8").tobytes()
-        return head + self.x.astype("<f4").tobytes() + b"".join(t.astype("<i4").tobytes() for t in self.near)
+        """The links; the vectors are not repeated."""
+        return np.array([len(self.x), len(self.near)], "<i8").tobytes() + b"".join(t.astype("<i4").tobytes() for t in self.near)
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
-        n, d, levels = np.frombuffer(data, "<i8", 3).tolist()
-        g, at = cls.__new__(cls), 24 + 4 * n * d
-        g.x = np.frombuffer(data, "<f4", n * d, 24).reshape(n, d)
+    def load(cls, data: bytes, x: np.ndarray) -> Graph:
+        n, levels = np.frombuffer(data, "<i8", 2).tolist()
+        g, at = cls.__new__(cls), 16
+        g.x = np.ascontiguousarray(x, np.float32)
         g.near = []
         for k in range(levels):
             m = M if k else M0

@@ -89,13 +89,14 @@ ORACLES: dict[str, str] = {
         FROM d JOIN c USING (text) LEFT JOIN m ON m.node = c.class_id""",
     # All pairs; for small tables.
     "op7_embedding_near_dedup": """
-        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        WITH RECURSIVE d AS (SELECT DISTINCT vec_id, label, embedding FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        v AS (SELECT *, embedding::DOUBLE[] AS v, row_number() OVER () AS k FROM d),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b, a.k AS k FROM v a JOIN v b ON a.label = b.label AND a.k <> b.k AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
         r AS (SELECT vec_id AS node, vec_id AS low FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node),
-        m AS (SELECT node, min(low) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
-        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NULL OR vec_id = component_id AS kept
-        FROM embeddings LEFT JOIN m ON m.node = vec_id LEFT JOIN n ON n.a = vec_id""",
+        m AS (SELECT node, min(low) AS component_id FROM r GROUP BY node), n AS (SELECT k, count(*) AS n FROM l GROUP BY k)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id IS NULL OR e.vec_id = component_id AS kept
+        FROM embeddings e LEFT JOIN m ON m.node = e.vec_id LEFT JOIN v ON v.vec_id = e.vec_id AND v.label = e.label AND v.embedding = e.embedding LEFT JOIN n ON n.k = v.k""",
     "op10_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS first FROM p)

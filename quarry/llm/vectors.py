@@ -1,16 +1,18 @@
 """Near-duplicate vectors: a navigable small-world graph per shard, every shard searched, links verified.
 
-Only vectors with one label and dimension are compared.  Equal vectors form a class with one representative.
-Representatives are dealt to shards of bounded size; a graph is built for each, and every representative of the
-label searches every shard, in blocks of bounded size.  A search whose beam is full of links is widened, at last
-to the whole shard; every sixteenth query of a block is audited against all vectors of the shard, and more of them,
-at last all, until ``POSITIVE`` have a link besides themselves.  The whole block's beam is widened until the mean
-recall of these queries reaches ``RECALL``.  Cosines of what is found are taken in double
-precision.  A task sends counts and a spanning forest of its links, so a cluster costs its size, not its square.
+Only vectors with one label and dimension are compared.  Equal vectors form a class.  Classes are dealt to shards of
+bounded size; a graph is built for each, and every class of the label searches every shard, in blocks of bounded size.
+A task holds one shard and one block, so what a label ships is its rows times its shards and its blocks.  A search
+whose beam is full of links is widened, at last to the whole shard; every sixteenth query of a block is audited against
+all vectors of the shard, and more of them, at last all, until ``POSITIVE`` have a link besides themselves.  The whole
+block's beam is widened until the mean recall of these queries reaches ``RECALL``.  Cosines of what is found are taken
+in double precision.  A task sends counts and a spanning forest of its links, so a cluster costs its size, not its
+square; and what its audits measured, which ``audit=True`` adds to each row as the mean over its label.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, and those with a null label or
-null id, link with nothing (their component is their own id) and are kept; equal vectors link with one another;
-rows that repeat a vec_id are one node; an empty table gives no rows; other columns are ignored.
+null id, link with nothing (their component is their own id) and are kept; equal vectors link with one another.  Rows
+that repeat id, label and vector are one vector; different vectors under one id each count as a vector, and are one
+node in components.  Ties go to the smallest id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from .common import Scratch, components
 from .hnsw import Graph
 
 COSINE = 0.98
-SHARD = 8192
-BLOCK = 2048
+SHARD = 16384
+BLOCK = 16384
+BLOCK_BYTES = 64 << 20  # of a shard or block of wide vectors, as doubles
 BEAM, RECALL, AUDIT, POSITIVE = 32, 0.995, 16, 32
 
 
@@ -96,10 +99,10 @@ def audited(x: np.ndarray, q: np.ndarray, own: np.ndarray, cosine: float) -> tup
     return np.concatenate([np.zeros(0, int), *some]), np.concatenate([np.zeros((0, len(x)), bool), *links])
 
 
-def search_block(g: Graph, x: np.ndarray, mult: np.ndarray, q: np.ndarray, cosine: float, own: np.ndarray | None = None) -> tuple[np.ndarray, Forest, float]:
-    """Links of each query into the shard, counted with multiplicity; sets over queries and then shard places; mean recall.
+def search_block(g: Graph, x: np.ndarray, mult: np.ndarray, q: np.ndarray, cosine: float, own: np.ndarray | None = None) -> tuple[np.ndarray, Forest, np.ndarray]:
+    """Links of each query into the shard, counted with multiplicity; sets over queries and then shard places; recalls.
 
-    own: the place of each query itself in the shard, or -1.
+    own: the place of each query itself in the shard, or -1; a query is no link of its own.
     """
     own = np.full(len(q), -1) if own is None else own
     audit, true = audited(x, q, own, cosine)
@@ -109,14 +112,15 @@ def search_block(g: Graph, x: np.ndarray, mult: np.ndarray, q: np.ndarray, cosin
     while True:
         n, sets, hits = np.zeros(len(q), np.int64), Forest(len(q) + len(x)), np.zeros(len(audit))
         for a, b in found_links(g, x, q, cosine, width):
-            n += np.bincount(a, mult[b], len(q)).astype(np.int64)
+            other = own[a] != b
+            n += np.bincount(a[other], mult[b[other]], len(q)).astype(np.int64)
             sets.link(a, len(q) + b)
             known = is_audit[a] >= 0
             i = is_audit[a[known]]
             hits += np.bincount(i, true[i, b[known]], len(audit))
-        recall = float((hits / true.sum(axis=1)).mean()) if len(audit) else 1.0
-        if recall >= RECALL or 2 * width >= len(x):
-            return n, sets, recall
+        recalls = hits / true.sum(axis=1)
+        if not len(audit) or recalls.mean() >= RECALL or 2 * width >= len(x):
+            return n, sets, recalls
         width *= 2
 
 
@@ -126,54 +130,74 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
 
 
-def near_vectors(df: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id and kept for each row."""
+_FOUND = "kind int, label string, a long, b long, x double"
+COUNT, LINK, AUDIT_ROW = 0, 1, 2
+
+
+def near_vectors(df: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, shard: int = SHARD, block: int = BLOCK, audit: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id and kept for each row; with audit also audit_recall, null where nothing was audited."""
     v = F.col("v")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = dict(df.dtypes)[vector_col]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & finite, F.lit(False))
-    classes = scratch.put(rows.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
+    once = rows.where(good).distinct()
+    classes = once.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    classes = scratch.put(classes.withColumn("cid", F.monotonically_increasing_id()))  # ids hold once they are written
     size = classes.withColumn("dim", F.size("v")).groupBy("label", "dim").agg(F.count("*").alias("n"))
-    place = F.xxhash64("rep", F.lit(3))
-    dealt = classes.withColumn("dim", F.size("v")).join(size, ["label", "dim"]).withColumn("shards", F.ceil(F.col("n") / shard)).withColumn("blocks", F.ceil(F.col("n") / block))
-    dealt = scratch.put(dealt.select("label", "dim", "rep", "mult", "v", "shards", "blocks", F.pmod(place, F.col("shards")).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(4)), F.col("blocks")).alias("block")))
+    room = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))
+    dealt = classes.withColumn("dim", F.size("v")).join(size, ["label", "dim"]).withColumn("shards", F.ceil(F.col("n") / F.least(F.lit(shard), room))).withColumn("blocks", F.ceil(F.col("n") / F.least(F.lit(block), room)))
+    dealt = scratch.put(dealt.select("label", "dim", "cid", "rep", "mult", "v", "shards", "blocks", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("shards")).alias("shard"), F.pmod(F.xxhash64("cid", F.lit(4)), F.col("blocks")).alias("block")))
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
-        x = _unit(_matrix(table.column("v")))
+        table = table.sort_by("cid")
+        raw = _matrix(table.column("v"))
+        raw = raw.astype(np.float32) if kind == "array<float>" else raw  # exact: components are as they came
         one = table.slice(0, 1)
-        return pa.table({"label": one.column("label"), "dim": one.column("dim"), "shard": one.column("shard"), "blocks": one.column("blocks"), "reps": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())), "mults": pa.array([table.column("mult").to_pylist()], pa.list_(pa.int64())), "unit": pa.array([x.tobytes()], pa.binary()), "graph": pa.array([Graph(x.astype(np.float32)).dump()], pa.binary())})
+        lists = {k: pa.array([table.column(c).to_pylist()], pa.list_(pa.int64())) for k, c in (("cids", "cid"), ("reps", "rep"), ("mults", "mult"))}
+        return pa.table({"label": one.column("label"), "dim": one.column("dim"), "shard": one.column("shard"), "blocks": one.column("blocks")} | lists | {"raw": pa.array([raw.tobytes()], pa.binary()), "graph": pa.array([Graph(_unit(raw.astype(float)).astype(np.float32)).dump()], pa.binary())})
 
-    graphs = dealt.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard long, blocks long, reps array<long>, mults array<long>, unit binary, graph binary")
+    graphs = dealt.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard long, blocks long, cids array<long>, reps array<long>, mults array<long>, raw binary, graph binary")
     graphs = scratch.put(graphs)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"kind": [], "a": [], "b": []}
+        out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            shard_reps = np.array(left.column("reps")[0].as_py())
-            mult = np.array(left.column("mults")[0].as_py())
-            x = np.frombuffer(left.column("unit")[0].as_py(), float).reshape(len(shard_reps), -1)
-            g = Graph.load(left.column("graph")[0].as_py())
-            right = right.sort_by("rep")
-            q, reps = _unit(_matrix(right.column("v"))), right.column("rep").to_numpy()
-            place_of = {k: i for i, k in enumerate(shard_reps.tolist())}
-            own = np.array([place_of.get(k, -1) for k in reps.tolist()], int)
-            n, sets, _ = search_block(g, x, mult, q, cosine, own)
+            cids, shard_reps, mult = (np.array(left.column(k)[0].as_py()) for k in ("cids", "reps", "mults"))
+            x = _unit(np.frombuffer(left.column("raw")[0].as_py(), "<f4" if kind == "array<float>" else "<f8").astype(float).reshape(len(cids), -1))
+            g = Graph.load(left.column("graph")[0].as_py(), x)
+            right = right.sort_by("cid")
+            q, asked, reps = _unit(_matrix(right.column("v"))), right.column("cid").to_numpy(), right.column("rep").to_numpy()
+            at = np.minimum(np.searchsorted(cids, asked), len(cids) - 1)
+            n, sets, recalls = search_block(g, x, mult, q, cosine, np.where(cids[at] == asked, at, -1))
             names = np.concatenate((reps, shard_reps))
             moved = np.flatnonzero(sets.root != np.arange(len(names)))
             a, b = names[moved], names[sets.root[moved]]
-            out = {"kind": np.append(np.zeros(len(reps), np.int32), np.ones(int((a != b).sum()), np.int32)), "a": np.append(reps, a[a != b]), "b": np.append(n, b[a != b])}
-        return pa.table({"kind": pa.array(out["kind"], pa.int32()), "a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64())})
+            a, b = a[a != b], b[a != b]
+            out = [(COUNT, asked, n, np.zeros(len(n))), (LINK, a, b, np.zeros(len(a))), (AUDIT_ROW, np.array([len(recalls)]), np.zeros(1, int), np.array([recalls.sum()]))]
+        label = left.column("label")[0].as_py() if left.num_rows else None
+        a, b, x = (np.concatenate([r[k] for r in out]) if out else np.zeros(0) for k in (1, 2, 3))
+        kinds = np.repeat([r[0] for r in out], [len(r[1]) for r in out]) if out else np.zeros(0)
+        return pa.table({"kind": pa.array(kinds.astype(np.int32)), "label": pa.array([label] * len(a), pa.string()), "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "x": pa.array(x.astype(float))})
 
     keys = ["label", "dim", "shard", "block"]
     left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks").groupBy(*keys)
-    right = dealt.select("label", "dim", "rep", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")).groupBy(*keys)
-    found = scratch.put(left.cogroup(right).applyInArrow(search, "kind int, a long, b long"))
-    comp = components(found.where("kind = 1").select("a", "b"), scratch)
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("hits"))  # a class finds its own members too
-    result = classes.join(counts, "rep").join(comp, F.col("rep") == F.col("node"), "left").select("label", "v", F.greatest(F.col("hits") - 1, F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    right = dealt.select("label", "dim", "cid", "rep", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")).groupBy(*keys)
+    found = scratch.put(left.cogroup(right).applyInArrow(search, _FOUND))
+    # an id with several vectors is one node: it joins their classes
+    several = once.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    joins = once.join(several, "vec_id").join(classes.select("label", "v", "rep"), ["label", "v"]).select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    comp = components(found.where(F.col("kind") == LINK).select("a", "b").unionByName(joins), scratch)
+    counts = found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("hits"))
+    result = classes.join(counts, "cid").join(comp, F.col("rep") == F.col("node"), "left").select("label", "v", (F.col("hits") + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     result = scratch.put(result.withColumnRenamed("label", "l2").withColumnRenamed("v", "v2"))
+    recall = found.where(F.col("kind") == AUDIT_ROW).groupBy(F.col("label").alias("l3")).agg((F.sum("x") / F.nullif(F.sum("a"), F.lit(0))).alias("audit_recall"))
+    if audit:
+        recall = scratch.put(recall)
     scratch.drop(classes, dealt, graphs, found)
     out = rows.withColumn("good", good).join(result, F.col("good") & (F.col("label") == F.col("l2")) & (v == F.col("v2")), "left")
+    if audit:
+        out = out.join(recall, F.col("good") & (F.col("label") == F.col("l3")), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").isNull() | (F.col("vec_id") == component)).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").isNull() | (F.col("vec_id") == component)).alias("kept"), *(["audit_recall"] if audit else []))
