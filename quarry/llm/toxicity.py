@@ -6,12 +6,13 @@ are a text's distinct words (letters, lower case), each as itself, its first fiv
 hashed; a feature's value is the number of distinct words that have it.  The ``SELECTED`` features that tell a
 category best are kept.
 
-Training takes a bounded sample, the ``SAMPLE`` labelled documents whose ids hash lowest; scoring reads all texts
-whole, in one pass without a shuffle.
+Training takes a bounded sample, the ``SAMPLE`` labelled documents whose ids hash lowest; each fold is a task of its own.
+Scoring reads all texts whole, in one pass without a shuffle.
 
 Edge cases: null and empty text have no features and get the base rate; null labels and null doc_ids do not
-train; of labels that repeat a doc_id the largest holds; without labels, or with one class only, the rate stands
-for the model; an empty table gives no rows; other columns are ignored.
+train; of labels that repeat a doc_id the largest holds, of documents that repeat one the first text by code point;
+without labels, or with one class only, the rate stands for the model; texts of any length are read whole; repeated
+rows are scored alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, sized
+
 SAMPLE = 12_000
 BUCKETS = 1 << 20
 SELECTED = 4096
@@ -79,51 +82,74 @@ def fit_linear(doc: np.ndarray, col: np.ndarray, val: np.ndarray, extra: np.ndar
     return w, e, b
 
 
+def fit_category(doc: np.ndarray, ids: np.ndarray, val: np.ndarray, y: np.ndarray, earlier: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+    """Features, their weights, those of earlier categories, the bias, fitted on some rows; and all rows' probabilities."""
+    chosen = select(doc, ids, y)
+    at = np.searchsorted(chosen, ids)
+    hit = (at < len(chosen)) & (chosen[np.minimum(at, max(len(chosen) - 1, 0))] == ids) if len(chosen) else np.zeros(len(ids), bool)
+    d, c, v = doc[hit], at[hit], val[hit].astype(float)
+    scale = 1 / np.maximum(np.sqrt(np.bincount(c, v * v, len(chosen)) / np.maximum(np.bincount(c, minlength=len(chosen)), 1)), 1)
+    v = v * scale[c]
+    w, e, b = fit_linear(d, c, v, earlier, y, len(chosen), rows)
+    s = np.bincount(d, v * w[c], len(y)) + earlier @ e + b
+    return chosen, w * scale, e, b, 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+
+
 def fit_chain(doc: np.ndarray, ids: np.ndarray, val: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray) -> list[dict]:
     """For each category of the chain: selected features and their weights, weights of earlier ones, bias."""
     earlier, chain = np.zeros((len(fold), 0)), []
     for name, y in labels.items():
-        chosen = select(doc, ids, y)
-        at = np.searchsorted(chosen, ids)
-        hit = (at < len(chosen)) & (chosen[np.minimum(at, max(len(chosen) - 1, 0))] == ids) if len(chosen) else np.zeros(len(ids), bool)
-        d, c, v = doc[hit], at[hit], val[hit].astype(float)
-        scale = 1 / np.maximum(np.sqrt(np.bincount(c, v * v, len(chosen)) / np.maximum(np.bincount(c, minlength=len(chosen)), 1)), 1)
-        v = v * scale[c]
         out = np.zeros(len(y))
         for f in range(FOLDS):
-            w, e, b = fit_linear(d, c, v, earlier, y, len(chosen), np.flatnonzero(fold != f))
-            s = np.bincount(d, v * w[c], len(y)) + earlier @ e + b
-            out[fold == f] = (1 / (1 + np.exp(-np.clip(s, -30, 30))))[fold == f]
-        w, e, b = fit_linear(d, c, v, earlier, y, len(chosen), np.arange(len(y)))
-        chain.append({"name": name, "ids": chosen, "w": w * scale, "e": e, "b": b})
+            out[fold == f] = fit_category(doc, ids, val, y, earlier, np.flatnonzero(fold != f))[4][fold == f]
+        chosen, w, e, b, _ = fit_category(doc, ids, val, y, earlier, np.arange(len(y)))
+        chain.append({"name": name, "ids": chosen, "w": w, "e": e, "b": b})
         earlier = np.column_stack((earlier, out))
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[dict]:
-    """Fit the chain in one task on the features of at most ``sample`` documents."""
+    """Fit the chain on the features of at most ``sample`` documents, category by category, a task for each fold and for the whole."""
     lab = labels.select(F.col(id_col).alias("doc_id"), "quality", "toxic").where("doc_id is not null and quality is not null and toxic is not null")
     lab = lab.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rows = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "doc_id")  # ``sample`` rows
+    text = text.groupBy("doc_id", "quality", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [features(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([x[0].astype(np.int32) for x in pairs], pa.list_(pa.int32())), pa.array([np.minimum(x[1], 32000).astype(np.int16) for x in pairs], pa.list_(pa.int16()))], ["doc_id", "quality", "toxic", "ids", "n"])
-
-    def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id").slice(0, sample)  # more only if documents repeat an id
-        lists, counts = table.column("ids").combine_chunks(), table.column("n").combine_chunks()
-        doc = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
-        y = {"low_quality": (table.column("quality").to_numpy() == 0).astype(float), "toxic": (table.column("toxic").to_numpy() != 0).astype(float)}
-        chain = fit_chain(doc, lists.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy(), y, np.arange(len(table)) % FOLDS)
-        return pa.table({"place": pa.array(range(len(chain)), pa.int32()), "name": [m["name"] for m in chain], "ids": pa.array([m["ids"] for m in chain], pa.list_(pa.int64())), "w": pa.array([m["w"] for m in chain], pa.list_(pa.float64())), "e": pa.array([m["e"] for m in chain], pa.list_(pa.float64())), "b": [float(m["b"]) for m in chain]})
-
-    found = text.select("doc_id", "text", "quality", "toxic").mapInArrow(extract, "doc_id long, quality int, toxic int, ids array<int>, n array<smallint>")
-    got = found.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fit, "place int, name string, ids array<long>, w array<double>, e array<double>, b double").collect()
-    chain = [r.asDict() for r in sorted(got, key=lambda r: r["place"])]
-    return chain or [{"name": n, "ids": [], "w": [], "e": [0.0] * i, "b": 0.0} for i, n in enumerate(CHAIN)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([x[0].astype(np.int32) for x in pairs], pa.list_(pa.int32())), pa.array([x[1].astype(np.int32) for x in pairs], pa.list_(pa.int32()))], ["doc_id", "quality", "toxic", "ids", "n"])
+
+    found = text.select("doc_id", "text", "quality", "toxic").mapInArrow(extract, "doc_id long, quality int, toxic int, ids array<int>, n array<int>")
+    found = Scratch(docs.sparkSession, "toxicity").put(found)  # at most ``sample`` rows
+    chain: list[dict] = []
+    earlier: list[np.ndarray] = []
+    for name in CHAIN:
+
+        def fit(table: pa.Table) -> pa.Table:
+            table = table.sort_by("doc_id")
+            part = table.column("part")[0].as_py()
+            lists, counts = table.column("ids").combine_chunks(), table.column("n").combine_chunks()
+            doc, n = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy())), len(table)
+            y = (table.column("quality").to_numpy() == 0 if name == "low_quality" else table.column("toxic").to_numpy() != 0).astype(float)  # noqa: B023
+            before = np.column_stack([np.zeros((n, 0)), *earlier])  # noqa: B023
+            fold = np.arange(n) % FOLDS
+            chosen, w, e, b, p = fit_category(doc, lists.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy(), y, before, np.flatnonzero(fold != part))
+            out = p[fold == part] if part < FOLDS else np.zeros(0)
+            return pa.table({"part": pa.array([part], pa.int32()), "ids": pa.array([chosen], pa.list_(pa.int64())), "w": pa.array([w], pa.list_(pa.float64())), "e": pa.array([e], pa.list_(pa.float64())), "b": [float(b)], "p": pa.array([out], pa.list_(pa.float64()))})
+
+        parts = found.withColumn("part", F.explode(F.array(*map(F.lit, range(FOLDS + 1))))).groupBy("part").applyInArrow(fit, "part int, ids array<long>, w array<double>, e array<double>, b double, p array<double>").collect()
+        if not parts:
+            return [{"name": n, "ids": [], "w": [], "e": [0.0] * i, "b": 0.0} for i, n in enumerate(CHAIN)]
+        of = {r["part"]: r for r in parts}
+        chain.append({"name": name} | {k: of[FOLDS][k] for k in ("ids", "w", "e", "b")})
+        out = np.zeros(sum(len(of[f]["p"]) for f in of if f < FOLDS))
+        for f in range(FOLDS):
+            if f in of:
+                out[f::FOLDS] = of[f]["p"]
+        earlier.append(out)
+    return chain
 
 
 def classify(docs: DataFrame, chain: list[dict], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -147,8 +173,7 @@ def classify(docs: DataFrame, chain: list[dict], *, id_col: str = "doc_id", text
             return s if s is not zero else None
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+            for b in sized(batch, 1):
                 sums = np.zeros((b.num_rows, len(chain)))
                 for i, text in enumerate(b.column(1).to_pylist()):
                     found = set(_WORD.findall((text or "").lower()))
