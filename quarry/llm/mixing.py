@@ -6,9 +6,13 @@ target / (2k + 1), and each source's blocks likewise to its shards.  In a shard
 order; the quota takes whole passes, then a run of blocks from a seeded start, so no document is taken more
 than ``max_epochs`` times and a rerun takes the same words.
 
+Shards and their order come from a hash of id, source and text, so a null or repeated id is spread like any other.
+
 Edge cases: null text has size 0; a null source is a source of its own, the last; null and repeated doc_ids are
-rows like others; sources without words have target 0; empty tables give no rows; other columns are ignored.
-Nothing is collected but one row of sums; the table of sources is ranked by range partitions, not in one task.
+rows like others; rows equal in id, source and text may take each other's place; sources without words have target 0;
+texts of any length count whole; empty tables give no rows; other columns are ignored.
+Nothing is collected but single rows of sums; sources, shards and quotients are ranked and summed by range
+partitions, not in one task.
 """
 
 from __future__ import annotations
@@ -26,56 +30,71 @@ SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def rank_rows(df: DataFrame, order: list, name: str, scratch: Scratch) -> DataFrame:
-    """0-based place of each row in a total order: range partitions, then places inside them, then offsets."""
+def rank_rows(df: DataFrame, order: list, name: str, scratch: Scratch, sums: tuple[str, ...] = ()) -> DataFrame:
+    """0-based place of each row in a total order, and with ``sums`` the totals of columns up to and with the row.
+
+    Range partitions, then places and running totals inside them, then offsets.
+    """
     placed = scratch.put(df.sort(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = placed.groupBy("_pid").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each partition
-    return placed.join(before, "_pid").withColumn(name, F.col("_at") + F.col("_before")).drop("_pid", "_at", "_before")
+    sizes = placed.groupBy("_pid").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_n_{c}") for c in sums))
+    past = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = sizes.select("_pid", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"), *(F.coalesce(F.sum(f"_n_{c}").over(past), F.lit(0)).alias(f"_before_{c}") for c in sums))
+    out = placed.join(before, "_pid").withColumn(name, F.col("_at") + F.col("_before"))
+    for c in sums:
+        run = F.sum(c).over(Window.partitionBy("_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out = out.withColumn(f"to_{c}", run + F.col(f"_before_{c}"))
+    return out.drop("_pid", "_at", "_before", *(f"_before_{c}" for c in sums))
 
 
 def targets(sources: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Adds place, weight and target to ``sources(source, source_size)``."""
+    """Adds place, weight and target to ``sources(source, source_size)``.
+
+    With sources by cap per weight, those that stop at their cap come first.  A source stops if its cap per weight is
+    within the level that is left once all before it have stopped; the level after the last of them is everybody's.
+    """
     ranked = rank_rows(sources, [F.col("source").isNull(), F.encode("source", "utf-8")], "place", scratch)
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     ranked = scratch.put(ranked.withColumn("weight", w).withColumn("cap", F.col("source_size").cast("double") * max_epochs))
-    total = float(ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).collect()[0][0])
-    level, full = 0.0, -1
-    while True:  # each round fills at least one more source, or ends
-        is_full = F.col("cap") <= F.col("weight") * F.lit(level) if full >= 0 else F.lit(False)
-        n, held, free = ranked.agg(F.count(F.when(is_full, 1)), F.coalesce(F.sum(F.when(is_full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~is_full, F.col("weight"))), F.lit(0.0))).collect()[0]
-        if n == full or not free:
-            break
-        full, level = n, (total - held) / free
-    return ranked.withColumn("target", F.least("cap", F.col("weight") * F.lit(level)))
-
-
-def apportion(df: DataFrame, votes: str, seats, ties: list, name: str, scratch: Scratch, by: list[str] | None = None, bound: str | None = None) -> DataFrame:
+    total, weight, n = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum("weight"), F.lit(0.0)), F.count("*")).collect()[0]
+    by_cap = rank_rows(ranked.withColumn("ratio", F.col("cap") / F.col("weight")), ["ratio", "place"], "at", scratch, ("cap", "weight"))
+    level = lambda cap, left: (F.lit(total) - cap) / left
+    before = level(F.col("to_cap") - F.col("cap"), F.lit(weight) - (F.col("to_weight") - F.col("weight")))
+    full = by_cap.where(F.col("ratio") <= before)
+    last = full.agg(F.max(F.struct("at", F.col("to_cap").alias("cap"), F.col("to_weight").alias("weight"))).alias("x"), F.count("*").alias("full")).collect()[0]
+    if last.full == n:
+        return ranked.withColumn("target", F.col("cap"))
+    top = (total - last.x.cap) / (weight - last.x.weight) if last.full else total / weight
+    return ranked.withColumn("target", F.least("cap", F.col("weight") * F.lit(top)))
+
+
+def apportion(df: DataFrame, votes: str, seats, ties: list, name: str, scratch: Scratch, by: list[str] | None = None) -> DataFrame:
     """Sainte-Lague: ``seats`` (a number, or a column that is constant within ``by``) dealt by highest quotients.
 
     Rather than one by one, all quotients above a divisor that is surely high enough are granted at once; the
     few between it and one that is surely low enough, at most one or two a party, are ranked.
     """
-    part = Window.partitionBy(*by) if by else None
-    if part is None:
-        n, total = df.agg(F.count(F.when(F.col(votes) > 0, 1)), F.coalesce(F.sum(votes), F.lit(0.0))).collect()[0]
-        d = df.withColumn("_n", F.lit(float(n))).withColumn("_v", F.lit(float(total))).withColumn("_s", F.lit(float(seats)))
+    keys = by or []
+    sums = [F.count(F.when(F.col(votes) > 0, 1)).cast("double").alias("_n"), F.coalesce(F.sum(votes), F.lit(0.0)).cast("double").alias("_v")]
+    if by:
+        d = df.withColumn("_s", seats.cast("double")).join(df.groupBy(*keys).agg(*sums), keys)
     else:
-        d = df.withColumn("_n", F.count(F.when(F.col(votes) > 0, 1)).over(part).cast("double")).withColumn("_v", F.sum(votes).over(part)).withColumn("_s", seats.cast("double"))
+        n, total = df.agg(*sums).collect()[0]
+        d = df.withColumn("_s", F.lit(float(seats))).withColumn("_n", F.lit(n)).withColumn("_v", F.lit(total))
     half = F.col("_n") / 2
     low = F.when(F.col("_s") > half, F.floor(F.col(votes) * (F.col("_s") - half) / F.col("_v") + 0.5 - 1e-9)).otherwise(F.lit(0))
     high = F.floor(F.col(votes) * (F.col("_s") + half) / F.col("_v") + 0.5 + 1e-9)
     ok = (F.col(votes) > 0) & (F.col("_s") > 0)
     d = d.withColumn("_low", F.when(ok, F.greatest(low, F.lit(0))).otherwise(F.lit(0)).cast("long")).withColumn("_high", F.when(ok, high).otherwise(F.lit(0)).cast("long"))
-    keys = by or []
     own = [*keys, *[t for t in ties if t not in keys]]
     tried = d.where("_high > _low").select(*own, votes, "_s", F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))).alias("_k")).withColumn("_q", F.col(votes) / (2 * F.col("_k") - 1))
-    if part is None:
-        left = int(seats) - int(d.agg(F.coalesce(F.sum("_low"), F.lit(0))).collect()[0][0])
-        ranked = rank_rows(tried, [F.desc("_q"), *ties, "_k"], "_r", scratch).where(F.col("_r") < left)
-    else:
+    ranked = rank_rows(tried, [*keys, F.desc("_q"), *ties, "_k"], "_r", scratch)
+    if by:
         granted = d.groupBy(*keys).agg(F.sum("_low").alias("_granted"))
-        ranked = tried.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_q"), *ties, "_k"))).join(granted, keys).where(F.col("_r") <= F.col("_s") - F.col("_granted"))
+        first = ranked.groupBy(*keys).agg(F.min("_r").alias("_first"))
+        ranked = ranked.join(first, keys).join(granted, keys).where(F.col("_r") - F.col("_first") < F.col("_s") - F.col("_granted"))
+    else:
+        left = int(seats) - int(d.agg(F.coalesce(F.sum("_low"), F.lit(0))).collect()[0][0])
+        ranked = ranked.where(F.col("_r") < left)
     extra = ranked.groupBy(*own).agg(F.count("*").alias("_extra"))
     return d.join(extra, own, "left").withColumn(name, F.col("_low") + F.coalesce("_extra", F.lit(0))).drop("_n", "_v", "_s", "_low", "_high", "_extra")
 
@@ -88,14 +107,13 @@ def mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col:
     """
     body = F.col(text_col)
     size = F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *([body.alias("text")] if keep_text else []), *(F.col(c).alias(f"x_{c}") for c in extra))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), id_col, source_col, body).alias("row"), *([body.alias("text")] if keep_text else []), *(F.col(c).alias(f"x_{c}") for c in extra))
     light = scratch.put(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     goal = scratch.put(targets(light, scratch, weights, max_epochs))
     total = int(goal.agg(F.coalesce(F.sum("source_size"), F.lit(0))).collect()[0][0])
     by_source = apportion(goal, "target", total // block, ["place"], "blocks", scratch)
     by_source = scratch.put(by_source.withColumn("shards", F.ceil(F.col("source_size") / shard_words).cast("long")).select(F.col("source").alias("_source"), "place", "source_size", "target", "blocks", F.greatest("shards", F.lit(1)).alias("shards")))
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    dealt = base.join(by_source, base.source.eqNullSafe(by_source._source)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
+    dealt = base.join(by_source, base.source.eqNullSafe(by_source._source)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "row"), F.col("shards")))
     cells = scratch.put(dealt.groupBy("place", "shard", "blocks").agg(F.sum("size").cast("double").alias("words")))
     quota = apportion(cells, "words", F.col("blocks"), ["shard"], "quota", scratch, by=["place"]).select("place", "shard", "words", "quota")
     length, b = F.col("words").cast("long"), F.lit(block)
@@ -109,7 +127,7 @@ def mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col:
         .withColumn("z", F.least(F.greatest(F.col("a") + F.col("rest") * b, F.col("a")), F.col("length") + F.col("a")))
         .select("place", "shard", "length", "passes", "a", "z")
     )
-    cell = Window.partitionBy("place", "shard").orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cell = Window.partitionBy("place", "shard").orderBy("row", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lo = (F.sum("size").over(cell) - F.col("size")).cast("long")
     out = dealt.withColumn("lo", lo).join(quota, ["place", "shard"])
     lo, hi, end = F.col("lo"), F.col("lo") + F.col("size"), F.least("z", "length")
