@@ -10,14 +10,17 @@ its next point is later than the latest register of its document.
 Search: bands of registers are hashed to buckets.  Members of a bucket are compared with its smallest member,
 and components are formed.  What then still lies in one bucket but in different components is compared in full:
 pair by pair in small buckets; in larger ones block by block, as products of 0/1 matrices with a column for each
-copy of a shingle, whose rows give back a spanning forest of links.  So no link between candidates is lost, and no
-stage emits the pairs of a large group.
+copy of a shingle, whose rows give back a spanning forest of links.  Blocks are bounded by rows and by bytes, and of
+buckets with the same members one is compared.  So no link between candidates is lost, and no stage emits the pairs of
+a large group.
 Pairs are verified on the shingle counts themselves.
 
 Edge cases: texts of fewer words than a shingle are one shingle; texts without words (null, empty) are near
 only to texts with the same bytes (null counts as empty); rows that repeat a text share a class whose id is
-its smallest doc_id; rows with a null doc_id have null class and component and are kept; ties go to the
-smallest doc_id; an empty table gives no rows; other columns are ignored.
+its smallest doc_id, and different texts under one doc_id are different classes; of a component the text with the
+smallest class id (then hash) is kept, in each of the rows that have it under that id; rows with a null doc_id have
+null class and component and are kept; texts of any length are read whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from .common import _GOLD, Rolling, Scratch, components, mix, sized, words
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-PAIRED, BLOCK = 16, 1024  # larger buckets are compared as matrices, in blocks of members
+PAIRED, BLOCK, BLOCK_BYTES = 16, 1024, 4 << 20  # larger buckets are compared as matrices, in blocks of members
 
 
 def shingles(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +117,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_bands: int, rows: int) -> DataFrame:
-    """doc_id, digest (of the whole text) and bands, null for texts without words."""
+    """doc_id, digest (of the whole text), size in bytes, and bands, null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +128,10 @@ def sign(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_bands: int
                 has = np.bincount(doc, minlength=b.num_rows) > 0
                 offsets = pa.array(np.append(0, np.cumsum(np.full(b.num_rows, n_bands))), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel(), pa.int64()), mask=pa.array(~has))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), lists], ["doc_id", "digest", "size", "bands"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(F.encode(F.coalesce(text_col, F.lit("")), "utf-8"), 256)).alias("digest"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return base.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return base.withColumn("size", F.octet_length("text").cast("long")).mapInArrow(run, "doc_id long, digest binary, size long, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -147,16 +150,20 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -
                 keep = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    ta = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
+    tb = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _open(wide: DataFrame, comp: DataFrame) -> DataFrame:
-    """Of ``wide(key, id)``, the buckets that hold several components: with c, the commonest of them, and the size."""
-    label = wide.join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    sizes = label.groupBy("key", "c").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.sum("n").alias("k"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
+    """Of ``wide(key, id, size)``, the buckets that hold several components: with c, the commonest of them, members and bytes.
+
+    Buckets of the same members, as a large group has in many bands, are told by number, ends and hashes of these, and one is left.
+    """
+    label = wide.join(comp, F.col("id") == F.col("node"), "left").select("key", "id", "size", F.coalesce("component", "id").alias("c"))
+    sizes = label.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("h"))
+    most = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.sum("n").alias("k"), F.sum("size").alias("bytes"), F.count("*").alias("cs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor("h").alias("h")).where("cs > 1")
+    most = most.groupBy("k", "lo", "hi", "h").agg(F.min(F.struct("key", "most", "bytes")).alias("x")).select("x.*", "k")
     return label.join(most, "key")
 
 
@@ -186,38 +193,47 @@ def _dense(open_: DataFrame, texts: DataFrame, shingle: int, threshold: float) -
     def run(table: pa.Table) -> pa.Table:
         ids, c = table.column("id").to_numpy(), table.column("c").to_numpy()
         like = _blocks(table.column("text").to_pylist(), shingle, threshold) & (c[:, None] != c[None, :])
-        root, out = np.arange(len(ids)), []
-        for i, j in zip(*np.nonzero(np.triu(like)), strict=True):
-            if root[i] != root[j]:
-                root[root == root[j]] = root[i]
+        root, out = list(range(len(ids))), []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(like))), strict=True):
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            x = j
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            if i != x:
+                root[max(i, x)] = min(i, x)
                 out.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 
-    n = F.ceil(F.col("k") / BLOCK)
+    n = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
     own = F.pmod(F.xxhash64("id"), n)
     rows = open_.withColumn("n", n).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     rows = rows.select("key", "id", "c", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
-    rows = rows.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    rows = rows.join(texts.select(F.col("cid").alias("id"), "text"), "id")
     return rows.groupBy("key", "b1", "b2").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (equal texts), component_id (texts linked by near copies) and kept, for each row."""
+def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, keep_digest: bool = False) -> DataFrame:
+    """doc_id, class_id (equal texts), component_id (texts linked by near copies) and kept, for each row.
+
+    With keep_digest also the SHA-256 of the text, which tells apart rows of one id.
+    """
     signed = scratch.put(sign(docs, id_col, text_col, shingle, n_bands, rows))
-    classes = scratch.put(signed.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")))
-    member = classes.where("class_id is not null and bands is not null").select(F.col("class_id").alias("id"), F.explode("bands").alias("key"))
+    classes = signed.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    classes = scratch.put(classes.withColumn("cid", F.monotonically_increasing_id()))  # ids hold once they are written
+    member = classes.where("class_id is not null and bands is not null").select(F.col("cid").alias("id"), "size", F.explode("bands").alias("key"))
     hubs = member.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = scratch.put(member.join(hubs, "key"))
     tried = scratch.put(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    ids = tried.select(F.col("a").alias("doc_id")).union(tried.select(F.col("b").alias("doc_id"))).union(shared.where("n > 2").select("id")).distinct()
-    rep = classes.select("class_id", "digest")
+    ids = tried.select(F.col("a").alias("cid")).union(tried.select(F.col("b").alias("cid"))).union(shared.where("n > 2").select("id")).distinct()
+    rep = classes.select("class_id", "digest", "cid")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = text.withColumn("digest", F.unhex(F.sha2(F.encode("text", "utf-8"), 256))).join(ids.join(rep, F.col("doc_id") == F.col("class_id")).select("doc_id", "digest"), ["doc_id", "digest"])
-    texts = scratch.put(texts.dropDuplicates(["doc_id", "digest"]).select("doc_id", "text"))
+    texts = text.withColumn("digest", F.unhex(F.sha2(F.encode("text", "utf-8"), 256))).join(ids.join(rep, "cid").select(F.col("class_id").alias("doc_id"), "digest", "cid"), ["doc_id", "digest"])
+    texts = scratch.put(texts.dropDuplicates(["cid"]).select("cid", "text"))
     links = scratch.put(verify(tried, texts, shingle, threshold))
     comp = scratch.put(components(links, scratch))
     # What shares a bucket but not a component, and was not compared yet.
-    open_ = scratch.put(_open(shared.where("n > 2").select("key", "id"), comp))
+    open_ = scratch.put(_open(shared.where("n > 2").select("key", "id", "size"), comp))
     few, lot = open_.where(F.col("k") <= PAIRED), open_.where(F.col("k") > PAIRED)
     rest = few.where("c <> most").select("key", F.col("id").alias("i"), F.col("c").alias("ci"))
     pairs = rest.join(few.select("key", F.col("id").alias("j"), F.col("c").alias("cj"), F.col("most")), "key")
@@ -227,6 +243,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id"
     if more.limit(1).count():
         comp = scratch.put(components(links.unionByName(more), scratch))
     scratch.drop(shared, tried, texts, links, open_, more)
-    out = signed.select("doc_id", "digest").join(rep, "digest").join(comp, F.col("class_id") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    # the first text of each component, of which the components of one text need no telling
+    first = comp.join(rep, F.col("node") == F.col("cid")).groupBy("component").agg(F.min(F.struct("class_id", "digest")).alias("first"))
+    named = rep.join(comp.join(first, "component").select("node", "first"), F.col("cid") == F.col("node"), "left")
+    named = named.select("digest", "class_id", F.coalesce("first", F.struct("class_id", "digest")).alias("first"))
+    out = signed.select("doc_id", "digest").join(named, "digest")
+    known = F.col("doc_id").isNotNull()
+    kept = ~known | ((F.col("doc_id") == F.col("first.class_id")) & (F.col("digest") == F.col("first.digest")))
+    return out.select("doc_id", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("first.class_id")).alias("component_id"), kept.alias("kept"), *(["digest"] if keep_digest else []))
