@@ -76,16 +76,13 @@ class WordIds:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split, out = [t.encode("utf-8", "replace").split() for t in texts], []
+        split = [t.encode("utf-8", "replace").split() for t in texts]
         fresh = list(set().union(*split).difference(self.kept)) if split else []
         made = dict(zip(fresh, self._new(fresh), strict=True))
         if len(self.kept) < KEPT_CHUNKS:
             self.kept.update(made)
             made = {} if len(made) < KEPT_CHUNKS else made
-        get, kept = made.get, self.kept
-        for chunks in split:
-            try:
-                out.append(b"".join(map(kept.__getitem__, chunks)) if not made else b"".join([kept.get(c) or get(c, b"") for c in chunks]))
-            except KeyError:
-                out.append(b"".join([kept.get(c) or get(c, b"") for c in chunks]))
-        return out
+        if not made:
+            return [b"".join(map(self.kept.__getitem__, chunks)) for chunks in split]
+        kept = self.kept.get
+        return [b"".join([x if (x := kept(c)) is not None else made[c] for c in chunks]) for chunks in split]

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sized
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 ARCHIVE_BYTES = 8 << 20
@@ -112,18 +114,7 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(data[at:] if at else data)
-    except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
-    if not z.eof:
-        raise Damaged("member is cut off")
-    return out, len(data) - len(z.unused_data)
-
-
-def _inflate_near(data: bytes, at: int) -> tuple[bytes, int]:
-    """As _inflate, fed in steps, so that a member costs its own size and not the rest of the archive."""
+    """A member and the offset after it, fed in steps, so that it costs its own size and not the rest of the archive."""
     z, out, pos = zlib.decompressobj(31), [], at
     try:
         while not z.eof and pos < len(data):
@@ -155,7 +146,7 @@ def salvage(data: bytes) -> Iterator[dict]:
 
 def _at(data: bytes, at: int) -> Iterator[dict]:
     if data.startswith(_MEMBER, at):
-        inner, after = _inflate_near(data, at)
+        inner, after = _inflate(data, at)
         pos, out = 0, []
         while pos < len(inner):
             x, pos = _parse(inner, pos)
@@ -200,14 +191,13 @@ def write_archives(marked: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Dat
         from pyspark import TaskContext
 
         task, n, parts, size = TaskContext.get().partitionId(), 0, [], 0
-        for b in batches:
-            for i, u, p, r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                m = _member(record(i, u, p, r))
-                parts.append(m)
-                size += len(m)
-                if size >= archive_bytes:
-                    yield pa.RecordBatch.from_pydict({"archive": [f"part-{task:06d}-{n:06d}.warc.gz"], "content": pa.array([b"".join(parts)], pa.binary())})
-                    n, parts, size = n + 1, [], 0
+        for i, u, p, r in (x for batch in batches for b in sized(batch, 2) for x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)):
+            m = _member(record(i, u, p, r))
+            parts.append(m)
+            size += len(m)
+            if size >= archive_bytes:
+                yield pa.RecordBatch.from_pydict({"archive": [f"part-{task:06d}-{n:06d}.warc.gz"], "content": pa.array([b"".join(parts)], pa.binary())})
+                n, parts, size = n + 1, [], 0
         if parts:
             yield pa.RecordBatch.from_pydict({"archive": [f"part-{task:06d}-{n:06d}.warc.gz"], "content": pa.array([b"".join(parts)], pa.binary())})
 
