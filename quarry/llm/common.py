@@ -43,10 +43,10 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}", 0
         _LEFT.append((spark, self.root))
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

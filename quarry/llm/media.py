@@ -1,11 +1,15 @@
 """ISO media containers in a column: store bytes losslessly as raw 8-bit video, and read any such file's tables.
 
 ``build`` writes ftyp, moov and mdat; frames are 64x1 grey pixels of 8 bits, every eighth one a sync frame.
-``tracks`` walks the nested boxes and decodes the sample tables (stsd, stts, stsc, stsz/stz2, stco/co64, stss) to
-codec, duration and the byte ranges of all and of sync samples, without touching what the samples hold.
+``tracks`` walks the nested boxes and decodes the sample tables (stsd, stts, stsc, stsz/stz2, stco/co64, stss) and
+those of movie fragments (trex, tfhd, trun) to codec, duration and the byte ranges of all and of sync samples,
+without touching what the samples hold.  ``store`` keeps container, codec, duration and keyframe ranges as columns,
+``digests`` reads such a table.
 
 Edge cases: null text is empty and is padded to one frame of zeros; a null or damaged container gives a row with
-``error`` and no tables; equal bytes give equal containers; extra columns are ignored; empty tables give no rows.
+``error`` and no tables, and boxes nested deeper than ``DEPTH``, places outside the file and a timescale of 0 are
+damage; texts of any length are stored; equal bytes give equal containers; null and repeated ids are rows like others;
+extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import sized
 
 FRAME, GOP, PER_CHUNK, RATE = 64, 8, 256, 25
+DEPTH = 32  # boxes within boxes
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"}
 
 
@@ -90,12 +98,13 @@ def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple
         start += size
 
 
-def _walk(data: bytes, start: int, end: int, into: dict) -> dict:
+def _walk(data: bytes, start: int, end: int, depth: int = 0) -> dict:
+    """Bodies of the boxes by kind; for those that nest, the same of what they hold."""
+    if depth > DEPTH:
+        raise Malformed("boxes are nested too deep")
+    into: dict = {}
     for kind, a, b in boxes(data, start, end):
-        if kind in _NESTED:
-            into.setdefault(kind, []).append(_walk(data, a, b, {}))
-        else:
-            into.setdefault(kind, []).append((a, b))
+        into.setdefault(kind, []).append(_walk(data, a, b, depth + 1) if kind in _NESTED else (a, b))
     return into
 
 
@@ -108,19 +117,83 @@ def _ints(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
 def tracks(data: bytes) -> list[dict]:
     """Codec, timescale, duration, and offset, size and sync flag of each sample, for each track."""
     try:
-        top = _walk(data, 0, len(data), {})
-        if b"moov" not in top:
+        movie, fragments = None, []
+        at = 0
+        for kind, a, b in boxes(data):
+            if kind == b"moov" and movie is None:
+                movie = _walk(data, a, b)
+            elif kind == b"moof":
+                fragments.append((at, _walk(data, a, b)))
+            at = b
+        if movie is None:
             raise Malformed("no moov box")
-        return [_track(data, t) for t in top[b"moov"][0].get(b"trak", [])]
+        found = {_track_id(data, t): _track(data, t) for t in movie.get(b"trak", [])}
+        defaults = {}
+        for a, _ in (x for m in movie.get(b"mvex", []) for x in m.get(b"trex", [])):
+            i, _, *rest = struct.unpack_from(">5I", data, a + 4)
+            defaults[i] = rest  # duration, size, flags
+        for start, moof in fragments:
+            _fragment(data, start, moof, found, defaults)
+        return list(found.values())
     except (KeyError, IndexError, struct.error) as e:
         raise Malformed(f"missing or short box: {e}") from None
 
 
+def _track_id(data: bytes, trak: dict) -> int:
+    a = trak[b"tkhd"][0][0]
+    return struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
+
+
+def _fragment(data: bytes, start: int, moof: dict, found: dict[int, dict], defaults: dict[int, list[int]]) -> None:
+    """Add the samples of a movie fragment to its tracks."""
+    after = start
+    for traf in moof.get(b"traf", []):
+        a = traf[b"tfhd"][0][0]
+        flags, track = struct.unpack_from(">II", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+        if track not in found:
+            raise Malformed("a fragment of a track that is not there")
+        at, base = a + 8, start if flags & 0x20000 else after
+        if flags & 1:
+            (base,), at = struct.unpack_from(">Q", data, at), at + 8
+        at += 4 * bool(flags & 2)
+        own = list(defaults.get(track, [0, 0, 0]))
+        for k, bit in enumerate((8, 0x10, 0x20)):
+            if flags & bit:
+                (own[k],), at = struct.unpack_from(">I", data, at), at + 4
+        for a, _ in traf.get(b"trun", []):
+            run, n = struct.unpack_from(">II", data, a)
+            run &= 0xFFFFFF
+            at, place = a + 8, after if a != traf[b"trun"][0][0] else base
+            if run & 1:
+                (shift,), at = struct.unpack_from(">i", data, at), at + 4
+                place = base + shift
+            first = own[2]
+            if run & 4:
+                (first,), at = struct.unpack_from(">I", data, at), at + 4
+            fields = [k for k, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if run & bit]
+            if not fields and n > len(data):
+                raise Malformed("more samples than bytes")
+            table = _ints(data, at, n * len(fields), ">u4").reshape(n, len(fields))
+            of = lambda k: table[:, fields.index(k)] if k in fields else np.full(n, own[k], np.int64)  # noqa: B023, E731
+            sizes, marks = of(1), of(2)
+            if n and run & 4 and 2 not in fields:
+                marks[0] = first
+            offsets = place + np.cumsum(sizes) - sizes
+            after = int(place + sizes.sum())
+            if n and (int(offsets.min()) < 0 or after > len(data)):
+                raise Malformed("a sample lies outside the file")
+            t = found[track]
+            t["offsets"], t["sizes"], t["sync"] = (np.concatenate((t[k], v)) for k, v in (("offsets", offsets), ("sizes", sizes), ("sync", marks & 0x10000 == 0)))
+            t["played"] += int(of(0).sum())
+
+
 def _track(data: bytes, trak: dict) -> dict:
     mdia = trak[b"mdia"][0]
     stbl = mdia[b"minf"][0][b"stbl"][0]
     a = mdia[b"mdhd"][0][0]
     scale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
+    if not scale:
+        raise Malformed("a timescale of 0")
     codec = data[(a := stbl[b"stsd"][0][0]) + 12 : a + 16].decode("latin-1")
     if b"stsz" in stbl:
         a = stbl[b"stsz"][0][0]
@@ -158,7 +231,7 @@ def _track(data: bytes, trak: dict) -> dict:
     if np.any(per < 1):
         raise Malformed("a chunk without samples")
     offsets = np.repeat(chunks - before[first], per) + before if n else before
-    if n and int((offsets + sizes).max()) > len(data):
+    if n and (int(offsets.min()) < 0 or int((offsets + sizes).max()) > len(data)):
         raise Malformed("a sample lies outside the file")
     sync = np.ones(n, bool)
     if b"stss" in stbl:
@@ -201,59 +274,69 @@ def pad(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % FRAME or (FRAME if not raw else 0))
 
 
+_RANGES = "array<struct<offset:long,length:long>>"
+_RANGE = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+
+
 def to_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_bytes, media: each text's UTF-8, padded with zero bytes to whole frames, as a container."""
     t = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                raw = [(x or "").encode() for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([build(pad(x)) for x in raw], pa.binary())], [id_col, "n_bytes", "media"])
+        for batch in batches:
+            for b in sized(batch, 1):
+                raw = [(x or "").encode() for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array([build(pad(x)) for x in raw], pa.binary())], [id_col, "n_bytes", "media"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {t}, n_bytes long, media binary")
 
 
-def probe(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """id, track, codec, timescale, duration, n_samples, keyframes (offset, length), error."""
-    t = dict(df.dtypes)[id_col]
-    ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-    names = [id_col, "track", "codec", "timescale", "duration", "n_samples", "keyframes", "error"]
+def probe(df: DataFrame, id_col: str, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, track, codec, timescale, duration, n_samples, keyframes (offset, length), error; and columns to keep."""
+    kinds = dict(df.dtypes)
+    names = [id_col, *keep, "track", "codec", "timescale", "duration", "n_samples", "keyframes", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i in range(b.num_rows):
-                try:
-                    found = tracks(b.column(1)[i].as_py() or b"")
-                    rows += [(i, k, x["codec"], x["timescale"], x["duration"], len(x["sizes"]), [{"offset": o, "length": n} for o, n in sync_ranges(x)], None) for k, x in enumerate(found)]
-                except Malformed as e:
-                    rows.append((i, None, None, None, None, None, None, str(e)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), ranges, pa.string()), strict=True))], names)
+        for batch in batches:
+            for b in sized(batch, 1 + len(keep)):
+                rows = []
+                for i, data in enumerate(b.column(1 + len(keep)).to_pylist()):
+                    try:
+                        rows += [(i, k, x["codec"], x["timescale"], x["played"], len(x["sizes"]), [{"offset": o, "length": n} for o, n in sync_ranges(x)], None) for k, x in enumerate(tracks(data or b""))]
+                    except Malformed as e:
+                        rows.append((i, None, None, None, None, None, None, str(e)))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+                at = pa.array(cols[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(1 + len(keep))), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _RANGE, pa.string()), strict=True))], names)
 
-    return df.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {t}, track long, codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,length:long>>, error string")
+    own = "".join(f"`{c}` {kinds[c]}, " for c in (id_col, *keep))
+    return df.select(id_col, *keep, media_col).mapInArrow(run, f"{own}track long, codec string, timescale long, duration long, n_samples long, keyframes {_RANGES}, error string")
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def store(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n_bytes, media, and what ``probe`` says of it: codec, timescale, duration, n_samples, keyframes."""
+    return probe(to_media(df, id_col, text_col), id_col, keep=("n_bytes", "media")).drop("track", "error")
 
 
-def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Store each text as ``to_media`` does, read the container back and digest what was read."""
-    t = dict(df.dtypes)[id_col]
+DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digests(table: DataFrame, id_col: str, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, columns to keep, and digests of what the first track of each container of a stored table holds."""
+    kinds = dict(table.dtypes)
+    names = [id_col, *keep, *(x.split()[0] for x in DIGEST.split(", "))]
+    types = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                raw = (text or "").encode()
-                media = build(pad(raw))
-                track = tracks(media)[0]
-                back = stored(media, track)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(track)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [id_col, *(x.split()[0] for x in DIGEST.split(", "))])
-
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {t}, {DIGEST}")
+        for batch in batches:
+            for b in sized(batch, 1 + len(keep)):
+                rows = []
+                for media in b.column(1 + len(keep)).to_pylist():
+                    track = tracks(media)[0]
+                    back = stored(media, track)
+                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(track)))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(1 + len(keep))), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], names)
+
+    own = "".join(f"`{c}` {kinds[c]}, " for c in (id_col, *keep))
+    return table.select(id_col, *keep, F.col(media_col)).mapInArrow(run, own + DIGEST)

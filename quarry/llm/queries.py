@@ -26,7 +26,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    """The media column is a table of its own; digests and ranges are read from it."""
+    table = Scratch(spark, "op2").put(media.store(_read(spark, sf_dir, "documents"), "doc_id", "text"), "zstd")
+    found = media.digests(table, "doc_id", keep=("n_bytes", "codec", "timescale", "duration", "n_samples", "keyframes"))
+    return found.select("doc_id", "n_bytes", *(x.split()[0] for x in media.DIGEST.split(", ")), "codec", (F.col("duration") / F.col("timescale")).alias("seconds"), "n_samples", "keyframes")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +69,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op10")
     archives = scratch.put(warc.write_archives(warc.mark_revisits(_read(spark, sf_dir, "pages"))))
-    return warc.read_archives(archives).where(F.col("kind") == "record").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("kind") == "record", F.lit(True)).otherwise(F.raise_error(F.concat_ws(" ", F.lit("a gap in"), "archive", F.lit("at"), "offset", F.lit(":"), "reason")).cast("boolean"))
+    return warc.read_archives(archives).where(whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_media_columns, op3_lm_scoring, op4_language_id, op5_toxicity, op6_best_fit_packing, op7_embedding_near_dedup, op8_source_mixing, op9_suffix_dedup, op10_warc)}
@@ -75,18 +79,18 @@ ORACLES: dict[str, str] = {
     # All pairs that share a shingle; for small tables.
     "op1_minhash_near_dedup": r"""
         WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-        c AS (SELECT text, min(doc_id) AS class_id FROM d GROUP BY text),
-        w AS (SELECT class_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM c WHERE class_id IS NOT NULL),
-        s AS (SELECT class_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0),
-        n AS (SELECT class_id, g, count(*) AS n FROM s GROUP BY ALL),
-        t AS (SELECT class_id, sum(n) AS t FROM n GROUP BY class_id),
-        p AS (SELECT a.class_id AS a, b.class_id AS b, sum(least(a.n, b.n)) AS i FROM n a JOIN n b ON a.g = b.g AND a.class_id < b.class_id GROUP BY ALL),
-        l AS (SELECT a, b FROM p JOIN t x ON x.class_id = a JOIN t y ON y.class_id = b WHERE i::DOUBLE / (x.t + y.t - i) >= 0.8::DOUBLE),
+        c AS (SELECT text, min(doc_id) AS class_id, row_number() OVER (ORDER BY min(doc_id), sha256(text)) AS k FROM d GROUP BY text),
+        w AS (SELECT k, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM c WHERE class_id IS NOT NULL),
+        s AS (SELECT k, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0),
+        n AS (SELECT k, g, count(*) AS n FROM s GROUP BY ALL),
+        t AS (SELECT k, sum(n) AS t FROM n GROUP BY k),
+        p AS (SELECT a.k AS a, b.k AS b, sum(least(a.n, b.n)) AS i FROM n a JOIN n b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN t x ON x.k = a JOIN t y ON y.k = b WHERE i::DOUBLE / (x.t + y.t - i) >= 0.8::DOUBLE),
         e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-        r AS (SELECT class_id AS node, class_id AS low FROM c WHERE class_id IS NOT NULL UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node),
-        m AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
-        SELECT doc_id, CASE WHEN doc_id IS NOT NULL THEN class_id END AS class_id, CASE WHEN doc_id IS NOT NULL THEN component_id END AS component_id, doc_id IS NULL OR doc_id = component_id AS kept
-        FROM d JOIN c USING (text) LEFT JOIN m ON m.node = c.class_id""",
+        r AS (SELECT k AS node, k AS low FROM c WHERE class_id IS NOT NULL UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node),
+        m AS (SELECT node, min(low) AS low FROM r GROUP BY node)
+        SELECT doc_id, CASE WHEN doc_id IS NOT NULL THEN c.class_id END AS class_id, CASE WHEN doc_id IS NOT NULL THEN f.class_id END AS component_id, doc_id IS NULL OR (doc_id = f.class_id AND c.k = f.k) AS kept
+        FROM d JOIN c USING (text) LEFT JOIN m ON m.node = c.k LEFT JOIN c f ON f.k = m.low""",
     # All pairs; for small tables.
     "op7_embedding_near_dedup": """
         WITH RECURSIVE d AS (SELECT DISTINCT vec_id, label, embedding FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
