@@ -110,6 +110,43 @@ def test_a_bucket_of_unlike_texts_loses_no_link(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_texts_under_one_id_are_judged_by_themselves(spark):
+    rng = random.Random(14)
+    a, b, c = (prose(rng, 100, 900) for _ in range(3))
+    rows = [(1, a + " end"), (3, a), (3, b), (3, b), (5, b + " end"), (2, c), (2, a), (None, b), (None, "alone"), (9, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), keep_digest=True).collect()
+    have = collections.Counter((r.doc_id, bytes(r.digest), r.class_id, r.component_id, r.kept) for r in got)
+    sha = lambda t: hashlib.sha256(t.encode()).digest()
+    want = [(1, a + " end", 1, 1, True), (3, a, 2, 1, False), (3, b, 3, 3, True), (3, b, 3, 3, True), (5, b + " end", 5, 3, False), (2, c, 2, 2, True), (2, a, 2, 1, False), (None, b, None, None, True), (None, "alone", None, None, True), (9, "", 9, 9, True)]
+    assert have == collections.Counter((i, sha(t), *x) for i, t, *x in want)
+
+
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    """Many texts in each bucket, blocks bounded by rows and by bytes: links as without blocks."""
+    rng = random.Random(15)
+    shared = prose(rng, 40, 900)
+    rows = [(10 * g + i, shared + " " + own + f" end{i}") for g in range(12) for own in [prose(rng, 40, 900)] for i in range(4)]
+    want = {i: i // 10 * 10 for i, _ in rows}
+    for block, size in ((1024, 4 << 20), (8, 4 << 20), (1024, 3000)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), rows=1, n_bands=24)
+        assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("spans", [(16, 1), (64, 16, 1)])
+def test_a_hot_anchor_is_cut(spark, monkeypatch, spans):
+    """A line in many texts between different words, with longer and shorter common parts around it."""
+    monkeypatch.setattr(suffixes, "HOT_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "SPANS", spans)
+    rng = random.Random(13)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(190))
+    around = [prose(rng, 12, 900) for _ in range(5)]
+    texts = [prose(rng, 20, 900) + rng.choice(around)[rng.randint(0, 30) :] + line + rng.choice(around)[: rng.randint(1, 60)] + prose(rng, 20, 900) for _ in range(60)]
+    got = suffixes.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t")).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_removed([t.encode() for t in texts], 200)
+
+
 def brute_removed(texts, d):
     c = collections.Counter(t[i : i + d] for t in texts for i in range(len(t) - d + 1))
     out = []
@@ -149,17 +186,58 @@ def test_scores_against_counts(spark, docs, empty):
     held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2 for r in rows]
     c = collections.Counter(w for t, h in zip(toks, held) if not h for w in t)
     n, v = sum(c.values()), len(c)
-    for head, classes in ((100000, 64), (30, 8)):
-        got = scoring.score(docs, Scratch(spark, "t"), head=head, classes=classes).collect()
+    for head in (100000, 30, 0):
+        got = scoring.score(docs, Scratch(spark, "t"), head=head).collect()
         assert len(got) == len(rows)
         have = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
         assert have == collections.Counter((r[0], h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6)) for r, t, h in zip(rows, toks, held))
-        assert sum(r.score for r in got) > sum(r.base_score for r in got) and all(r.score < 0 for r in got)
+        assert all(r.score < 0 and abs(r.mean_score * r.n_tokens - r.score) < 1e-6 for r in got)
+        assert any(abs(r.score - r.base_score) > 1 for r in got)  # the model is used, however few words have vectors of their own
+        if head > 30:
+            assert sum(r.score for r in got) > sum(r.base_score for r in got)
     assert scoring.score(empty, Scratch(spark, "t")).count() == 0
     alone = scoring.score(spark.createDataFrame([(i, "a b") for i in range(30) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string"), Scratch(spark, "t")).collect()
     assert alone and all(r.score == r.base_score == 0 and r.train_tokens == 0 and r.n_known == 0 for r in alone)
 
 
+def test_scores_against_the_definition(spark):
+    """Each token's probability by summing over all symbols in plain Python, from the same vectors."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(0, 25), 90) + (" rare%d" % i if i % 3 else "")) for i in range(120)] + [(500, None), (501, "w" * 300 + " never seen")]
+    base = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") >= 100)
+    counts = scoring.token_counts(base.where("not held_out")).cache()
+    model = scoring.fit(base.where("not held_out"), counts, head=40)
+    s, m, n = model.symbols, model.vectors, {bytes(r[0]): r[1] for r in counts.collect()}
+    size, k = m["C"].shape[1], len(m["C"]) // m["C"].shape[1]
+    groups = [range(a, z) for a, z in zip(s.first[:-1].tolist(), s.first[1:].tolist())]
+    heads = []
+    for g in groups:
+        mass = sum(s.p[i] for i in g)
+        q = sum(m["Q"][i].astype(float) * s.p[i] for i in g) / mass
+        heads.append((q[:-1], math.log(mass)) if len(g) > 1 else (m["Q"][g[0]][:-1].astype(float), float(m["Q"][g[0]][-1])))
+
+    def log_p(history, symbol):
+        h = sum(m["R"][x].astype(float) @ m["C"][i * size : (i + 1) * size].astype(float) for i, x in enumerate(history))
+        top = [q @ h + b for q, b in heads]
+        at = next(i for i, g in enumerate(groups) if symbol in g)
+        inner = {i: float(m["Q"][i][:-1].astype(float) @ h + m["Q"][i][-1]) for i in groups[at]}
+        return top[at] - math.log(sum(map(math.exp, top))) + inner[symbol] - math.log(sum(map(math.exp, inner.values())))
+
+    cells = collections.Counter(), collections.Counter()
+    for w, c in n.items():
+        if w not in s.at:
+            cells[0][s.cell(w)] += c
+            cells[1][s.cell(w)] += 1
+    for r in scoring.apply(base, counts, model, Scratch(spark, "t")).collect():
+        text = dict(rows)[r.doc_id]
+        history, want = [s.end] * k, 0.0
+        for w in [*(text or "").encode().lower().split(), b""]:
+            x = s.at[w] if w in s.at else s.cell(w)
+            want += log_p(history, x) / math.log(10) + (0 if w in s.at else math.log10((n.get(w, 0) + 1) / (cells[0][x] + cells[1][x] + 1)))
+            history = [x, *history[:-1]]
+        assert abs(r.score - want) < 1e-3 * max(1, abs(want)), (r.doc_id, r.score, want)
+
+
 def test_language(spark, docs, empty):
     found = language.model(docs)
     got = language.identify(language.from_documents(docs), found, Scratch(spark, "t")).collect()
@@ -172,6 +250,48 @@ def test_language(spark, docs, empty):
     assert language.identify(language.from_documents(empty), language.model(empty), Scratch(spark, "t")).count() == 0
 
 
+def test_language_against_bayes_in_plain_python(spark, docs):
+    """The posterior of each row from the trigram tables, by the formulas of the docstring, one row at a time."""
+    rows = [(*r, i) for i, r in enumerate(documents())] + [(3, documents()[3][1], "en-GB", "s1", 900), (99, "ü" * 30_000 + " w1 w2", "de", "s0", 901)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row long")
+    found = language.model(docs)
+    langs, prior, table = found
+    tag = lambda x: (x or "").strip().lower().split("-")[0] if (x or "").strip()[:2].isalpha() and len((x or "").strip().split("-")[0]) in (2, 3) else None
+    facts = {}
+    for i, text, lang, source, row in rows:
+        at, _, letters = language.trigrams([text])
+        own_at = [int(t) for t in at if t < language.BUCKETS]
+        n = len(own_at)
+        mean = [sum(float(table[k][t]) for t in own_at) / max(n, 1) for k in range(len(langs))]
+        logs = [x * n / (1 + n / language.SATURATION) for x in mean]
+        raw = [math.exp(x + p - max(a + b for a, b in zip(logs, prior))) for x, p in zip(logs, prior)]
+        facts[row] = (logs, [x / sum(raw) if n else 0.0 for x in raw], letters[0] > 0, tag(lang), source)
+    votes = lambda at, value: [sum(f[1][k] for f in facts.values() if f[2] and f[at] == value) for k in range(len(langs))] if any(f[2] and f[at] == value for f in facts.values()) else None
+    lean = lambda v, parent, w: [(max(x, 0) + w * p) / (max(sum(v), 0) + w) for x, p in zip(v, parent)]
+    base = [math.exp(p) for p in prior]
+    for r in language.identify(language.from_documents(df, keep=("row",)), found, Scratch(spark, "t")).collect():
+        logs, own, readable, declared, host = facts[r.row]
+        at_declared = base if declared is None or votes(3, declared) is None else lean(votes(3, declared), base, language.DECLARED_WEIGHT)
+        v = None if host is None else votes(4, host)
+        at_host = lean([0.0] * len(langs) if v is None else [a - b for a, b in zip(v, own)], base, language.HOST_WEIGHT)
+        total = [x + math.log(h) + math.log(d) - p for x, h, d, p in zip(logs, at_host, at_declared, prior)]
+        best = max(range(len(langs)), key=lambda k: total[k])
+        chance = 1 / sum(math.exp(x - total[best]) for x in total)
+        if readable:
+            assert r.language == langs[best] and abs(r.probability - chance) < 1e-6 and r.kept == (chance >= language.LEAST), r
+        else:
+            assert (r.language, r.probability, r.kept) == ("und", 0.0, False)
+
+
+def test_language_of_texts_alone(spark):
+    """Held-out accuracy without any declared value: models of one half of a test table, the other half's texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 40")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    rows = docs.where(half == 1).withColumn("true", F.col("lang")).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    got = language.identify(language.from_documents(rows, keep=("true",)), language.model(docs.where(half == 0)), Scratch(spark, "t")).collect()
+    assert len(got) > 50 and sum(r.language == r.true for r in got) >= 0.95 * len(got)
+
+
 def test_language_evidence_and_hosts(spark):
     rng = random.Random(2)
     en, de = "the thing and that with".split(), "der schön und nicht über".split()
@@ -213,17 +333,60 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.classify(empty, chain).count() == 0
 
 
+def test_toxicity_against_the_weights(spark):
+    """Probabilities one word at a time from the fitted chain; repeated ids and a very long text too."""
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 30, 300) + (" idiot" if i % 4 == 0 else "")) for i in range(300)] + [(7, "another text of one id"), (7, "another text of one id"), (400, prose(rng, 60_000, 40_000)), (None, "x"), (401, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    want = collections.Counter()
+    for i, text in rows:
+        p = []
+        for m in chain:
+            weight, total = dict(zip(m["ids"], m["w"])), m["b"]
+            for w in {w for w in "".join(ch if ch.isalpha() else " " for ch in (text or "").lower()).split()}:
+                total += sum(weight.get(f, 0.0) for f in toxicity.word_features(w))
+            p.append(1 / (1 + math.exp(-max(-30, min(30, total + sum(e * x for e, x in zip(m["e"], p)))))))
+        want[(i, *(round(x, 6) for x in p), p[-1] >= toxicity.THRESHOLD)] += 1
+    got = toxicity.classify(docs, chain).collect()
+    assert collections.Counter((r.doc_id, round(r.p_low_quality, 6), round(r.p_toxic, 6), r.toxic) for r in got) == want
+    alone = toxicity.train(docs.where("doc_id < 7"), labels.where("doc_id < 7"))  # fewer rows than make good folds
+    assert [m["name"] for m in alone] == list(toxicity.CHAIN)
+
+
+def test_chain_in_tasks_equals_the_chain_in_one(spark):
+    rng = random.Random(17)
+    rows = [(i, prose(rng, 40, 200) + (" scum" if i % 5 == 0 else "")) for i in range(200)]
+    labels = [(i, int(i % 3 != 0), int(i % 5 == 0)) for i in range(200)]
+    got = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    pairs = [toxicity.features(t) for _, t in rows]
+    doc, ids, val = (np.concatenate(x) for x in zip(*((np.full(len(a), i), a, n) for i, (a, n) in enumerate(pairs))))
+    want = toxicity.fit_chain(doc, ids, val, {"low_quality": np.array([float(q == 0) for _, q, _ in labels]), "toxic": np.array([float(t) for *_, t in labels])}, np.arange(200) % toxicity.FOLDS)
+    for a, b in zip(got, want, strict=True):
+        assert list(a["ids"]) == b["ids"].tolist() and np.allclose(a["w"], b["w"]) and np.allclose(a["e"], b["e"]) and abs(a["b"] - b["b"]) < 1e-9
+
+
 def test_media_digests(spark, docs, empty):
-    got = collections.Counter(tuple(r)[:5] for r in media.digests(docs, "doc_id", "text").collect())
+    table = Scratch(spark, "t").put(media.store(docs, "doc_id", "text"))
+    got = collections.Counter()
+    for r in media.digests(table, "doc_id", keep=("n_bytes", "codec", "timescale", "duration", "n_samples", "keyframes")).collect():
+        at = r.media_bytes - r.payload_bytes  # the frames are the end of the file
+        assert r.codec == "raw " and r.n_samples * 64 == r.payload_bytes and r.duration == r.n_samples and r.timescale == 25
+        assert [tuple(k) for k in r.keyframes] == [(at + o, 64) for o in range(0, r.payload_bytes, 512)]
+        first, last = at, at + (r.n_samples - 1) // 8 * 512
+        ranges = zlib.crc32(np.array([tuple(k) for k in r.keyframes], "<i8").tobytes())
+        assert r.feature == f"codec=raw ;seconds={r.n_samples / 25:.2f};samples={r.n_samples};sync={len(r.keyframes)};first={first};last={last};ranges={ranges:08x}"
+        got[(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256)] += 1
     want = collections.Counter()
     for i, t, *_ in documents():
         b = (t or "").encode()
         p = b + bytes(-len(b) % 64 or (0 if b else 64))
-        want[(i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))] += 1
+        want[(i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), hashlib.sha256(media.build(p)).hexdigest())] += 1
     assert got == want
-    assert media.digests(empty, "doc_id", "text").count() == 0
-    rows = media.probe(media.to_media(docs, "doc_id", "text").unionByName(spark.createDataFrame([(99, 3, b"junk")], "doc_id long, n_bytes long, media binary")), "doc_id").collect()
-    assert len(rows) == len(documents()) + 1 and [r.doc_id for r in rows if r.error] == [99]
+    assert media.digests(media.store(empty, "doc_id", "text"), "doc_id").count() == 0
+    rows = media.probe(media.to_media(docs, "doc_id", "text").unionByName(spark.createDataFrame([(99, 3, b"junk"), (98, 3, None)], "doc_id long, n_bytes long, media binary")), "doc_id").collect()
+    assert len(rows) == len(documents()) + 2 and {r.doc_id for r in rows if r.error} == {98, 99}
 
 
 def test_packing(spark, docs, empty):
@@ -279,6 +442,41 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, Scratch(spark, "t")).count() == 0
 
 
+def test_mixing_spreads_rows_without_an_id(spark):
+    """Null and repeated ids are many shards, and every row is taken within its bounds."""
+    rng = random.Random(3)
+    rows = [(None if i % 2 else 7, prose(rng, rng.randint(1, 60)), ("a", "b", None)[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, Scratch(spark, "t"), shard_words=200).collect()
+    again = mixing.mix(df.repartition(5), Scratch(spark, "t"), shard_words=200).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == 300
+    assert all(0 <= r.taken <= 3 * r.size for r in got) and len({r.taken / r.size for r in got}) > 3
+    goal = brute_targets({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("a", "b", None)})
+    for s, g in goal.items():
+        assert abs(sum(r.taken for r in got if r.source == s) - g) <= max(40, 0.02 * g)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_against_filling_by_rounds(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i:02d}": rng.choice((0, 1, 10, 1000, 100_000)) * rng.randint(1, 5) for i in range(rng.randint(1, 30))}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), Scratch(spark, "t")).collect()
+    want = brute_targets(sizes)
+    assert {r.source for r in got} == set(want) and all(abs(r.target - want[r.source]) <= 1e-6 * max(1, want[r.source]) for r in got)
+
+
+@pytest.mark.parametrize("seats", [5, 60])
+def test_apportionment_within_groups(spark, seats):
+    votes = [(g, i, float(v)) for g, vs in enumerate(([9, 9, 1], [100, 3, 3, 0], [7])) for i, v in enumerate(vs)]
+    got = mixing.apportion(spark.createDataFrame(votes, "g long, p long, v double"), "v", F.lit(seats), ["p"], "n", Scratch(spark, "t"), by=["g"]).collect()
+    for g in range(3):
+        mine = [(p, v) for h, p, v in votes if h == g]
+        want = collections.Counter()
+        for _ in range(seats):
+            want[max(mine, key=lambda x: (x[1] / (2 * want[x[0]] + 1), -x[0]))[0]] += 1
+        assert {r.p: r.n for r in got if r.g == g} == {p: want[p] for p, _ in mine}
+
+
 def test_mixed_texts_hold_the_taken_words(spark, docs):
     mixed = mixing.mix(docs, Scratch(spark, "t"), keep_text=True, extra=("lang",)).cache()
     words = mixing.expand(mixed, ["doc_id", "text", "lang", "source", "n_chars"]).select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).collect()[0][0]

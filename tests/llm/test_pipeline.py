@@ -31,8 +31,31 @@ def test_stages_chain(spark, tmp_path):
 
 
 def test_run_equals_the_stages(spark, tmp_path):
+    """run() against the stages called one by one; sequence numbers are any."""
     import corpus_pipeline as p
 
     spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    a = p.run(spark, str(tmp_path)).drop("sequence_id", "offset")
-    assert sorted(map(str, a.collect())) == sorted(map(str, p.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) and a.count() > 0
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (_, stage) in enumerate(p.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/step{i}")
+        docs = spark.read.parquet(f"{tmp_path}/step{i}")
+    got = p.run(spark, str(tmp_path)).drop("sequence_id", "offset")
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.drop("sequence_id", "offset").collect())) and got.count() > 0
+
+
+def test_an_empty_table_gives_no_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_two_texts_under_one_id(spark, tmp_path):
+    """The copy goes, and does not come back with the other text of its id."""
+    import corpus_pipeline as p
+
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(2, text, "en", "a"), (3, text, "en", "a"), (3, "quite another text of that id", "en", "a"), (None, text, "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = p.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text[:5]) for r in got if r.doc_id) == [(2, "word0"), (3, "quite")] and sum(r.doc_id is None for r in got) == 1
