@@ -2,11 +2,12 @@
 
 A context is the ``CONTEXT`` symbols before a token; its vector is h = sum_i r(w_i) C_i with a matrix for each position.
 A symbol scores q(w).h + b(w).  Symbols stand by falling count in groups of neighbours: the first ones alone, later
-groups the larger the rarer their symbols are, so that a token costs about the root of the vocabulary.  Groups have
-scores of their own, and P(w | h) = P(group | h) P(w | group, h) sums to 1 over all symbols, by batched products.
+groups the larger the rarer their symbols are, so that a token costs about the root of the vocabulary.  A group scores
+like a symbol with the mean vector of its members and the log of their mass.  P(w | h) = P(group | h) P(w | group, h)
+sums to 1 over all symbols, and both factors are batched products.
 
-Noise-contrastive estimation fits both: each batch tells its symbols, and its groups, from draws of the unigram.
-Steps are Adagrad with a rate for each row.
+Noise-contrastive estimation fits the vectors: each batch tells its symbols from draws of the unigram.  Steps are
+Adagrad with a rate for each row.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CONTEXT, WIDTH = 2, 32
-SINGLE, GROUPS = 96, 160
-NOISE, DRAWS, GROUP_DRAWS, SHARE = 10, 64, 16, 128
-BATCH, RATE, START = 2048, 0.1, 1.0
+CONTEXT, WIDTH = 2, 24
+SINGLE, GROUPS = 32, 160
+NOISE, DRAWS, SHARE = 10, 32, 128
+BATCH, RATE, START = 2048, 0.15, 1.0
 BLOCK = 8192  # rows that are averaged together
 END = b""  # no word is empty
 
@@ -52,25 +53,39 @@ class Symbols:
     def cell(self, token: bytes) -> int:
         return int(self.cells[zlib.crc32(token) % len(self.cells)])
 
-    def ids(self, tokens: list[bytes]) -> list[int]:
-        at, cell = self.at, self.cell
-        return [i if (i := at.get(t, -1)) >= 0 else cell(t) for t in tokens]
+    def ids(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each token, and the places of those in cells."""
+        get, cell = self.at.get, self.cell
+        out = np.array([get(t, -1) for t in tokens], np.int32)
+        away = np.flatnonzero(out < 0)
+        out[away] = [cell(tokens[i]) for i in away.tolist()]
+        return out, away
 
 
-def start(s: Symbols, width: int = WIDTH, context: int = CONTEXT, seed: int = 5) -> dict[str, np.ndarray]:
-    """R: context vectors, C: a matrix a position, Q and G: vectors and bias of symbols and of groups."""
-    rng = np.random.default_rng(seed)
-    n, mass = len(s.p), np.add.reduceat(s.p, s.first[:-1])
-    q = lambda p: np.column_stack((np.zeros((len(p), width)), np.log(p))).astype(np.float32)
+def start(s: Symbols, width: int | None = None, context: int | None = None, seed: int = 5) -> dict[str, np.ndarray]:
+    """R: context vectors, C: a matrix a position, Q: output vectors with a bias."""
+    width, context, rng = width or WIDTH, context or CONTEXT, np.random.default_rng(seed)
+    n = len(s.p)
+    q = np.column_stack((np.zeros((n, width)), np.log(s.p)))
     c = np.concatenate([np.eye(width) / (1 + i) for i in range(context)])
-    return {"R": rng.normal(0, 0.3, (n, width)).astype(np.float32), "C": c.astype(np.float32), "Q": q(s.p), "G": q(mass)}
+    return {"R": rng.normal(0, 0.3, (n, width)).astype(np.float32), "C": c.astype(np.float32), "Q": q.astype(np.float32)}
+
+
+def group_outputs(m: dict[str, np.ndarray], s: Symbols) -> np.ndarray:
+    """Vectors and bias of the groups; those of a group of one are its symbol's."""
+    first = s.first[:-1]
+    mass = np.add.reduceat(s.p, first)
+    g = np.column_stack((np.add.reduceat(m["Q"][:, :-1] * s.p[:, None], first, axis=0) / mass[:, None], np.log(mass)))
+    one = np.diff(s.first) == 1
+    g[one] = m["Q"][first[one]]
+    return g.astype(np.float32)
 
 
 def contexts(m: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of the symbols before each place, nearest first, their vectors side by side, and h with a 1 for the bias."""
     k = len(m["C"]) // m["C"].shape[1]
     x = ids[at[:, None] - np.arange(1, k + 1)]
-    raw = m["R"][x].reshape(len(at), -1)
+    raw = m["R"].take(x.ravel(), axis=0).reshape(len(at), -1)
     h = np.ones((len(at), m["C"].shape[1] + 1), np.float32)
     np.matmul(raw, m["C"], out=h[:, :-1])
     return x, raw, h
@@ -80,10 +95,11 @@ def _rows(ids: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the gradients of each id."""
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
-    new = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    sums = np.cumsum(grad[order], axis=0, dtype=float)[np.append(new[1:], len(ids)) - 1]
-    sums[1:] -= sums[:-1].copy()
-    return ids[new], sums.astype(np.float32)
+    new = np.append(True, ids[1:] != ids[:-1])
+    place, width = np.empty(len(ids), np.int64), grad.shape[1]
+    place[order] = np.cumsum(new) - 1
+    at = (place[:, None] * width + np.arange(width)).ravel()
+    return ids[new], np.bincount(at, grad.ravel()).reshape(-1, width).astype(np.float32)
 
 
 class Trainer:
@@ -94,48 +110,47 @@ class Trainer:
         self.sums = {k: np.full(len(v), START, np.float32) for k, v in m.items()}
         self.touched = {k: np.zeros(len(v), np.int32) for k, v in m.items()}
         self.cum = np.cumsum(s.p)
-        mass = np.add.reduceat(s.p, s.first[:-1])
-        self.cum_group = np.cumsum(mass)
-        self.noise, self.group_noise = (np.log(NOISE * p).astype(np.float32) for p in (s.p, mass))
+        self.noise = np.log(NOISE * s.p).astype(np.float32)
 
     def _move(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        bias = name in "QG"  # the input of a bias is 1, the largest there is
-        self.sums[name][rows] += grad[:, -1] ** 2 if bias else (grad * grad).mean(axis=1)
-        self.m[name][rows] += self.rate * grad / np.sqrt(self.sums[name][rows])[:, None]
+        sums = self.sums[name].take(rows)
+        sums += grad[:, -1] ** 2 if name == "Q" else (grad * grad).mean(axis=1)  # the input of a bias is 1, the largest there is
+        self.sums[name][rows] = sums
+        grad *= (self.rate / np.sqrt(sums))[:, None]
+        grad += self.m[name].take(rows, axis=0)
+        self.m[name][rows] = grad
         self.touched[name][rows] += 1
 
-    def _tell(self, name: str, h: np.ndarray, hit: np.ndarray, noise: np.ndarray, cum: np.ndarray, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _tell(self, h: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gradient of h, and rows and gradients of the outputs: observed ones against draws that ``SHARE`` tokens share."""
-        q = self.m[name]
-        parts = -(-len(h) // SHARE)
-        k = np.minimum(np.searchsorted(cum, self.rng.random((parts, draws)) * cum[-1]), len(q) - 1)
-        own, drawn = q[hit], q[k]
-        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, own) - noise[hit], -30, 30)))
+        q, noise = self.m["Q"], self.noise
+        parts, n = -(-len(h) // SHARE), len(h)
+        k = np.minimum(np.searchsorted(self.cum, self.rng.random(parts * DRAWS) * self.cum[-1]), len(q) - 1)
+        own, drawn = q.take(hit, axis=0), q.take(k, axis=0).reshape(parts, DRAWS, -1)
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, own) - noise.take(hit), -30, 30)))
         wide = np.zeros((parts * SHARE, h.shape[1]), np.float32)
-        wide[: len(h)] = h
+        wide[:n] = h
         wide = wide.reshape(parts, SHARE, -1)
         down = wide @ drawn.transpose(0, 2, 1)
-        down -= noise[k][:, None, :]
+        down -= noise.take(k).reshape(parts, 1, DRAWS)
         down *= np.float32(0.5)  # the logistic function by tanh, in place
         np.tanh(down, out=down)
         down += np.float32(1)
-        down *= np.float32(-0.5 * NOISE / draws)
-        down.reshape(parts * SHARE, draws)[len(h) :] = 0
-        gh = up[:, None] * own + (down @ drawn).reshape(parts * SHARE, -1)[: len(h)]
+        down *= np.float32(-0.5 * NOISE / DRAWS)
+        down.reshape(parts * SHARE, DRAWS)[n:] = 0
+        own *= up[:, None]
+        own += (down @ drawn).reshape(parts * SHARE, -1)[:n]
         back = down.transpose(0, 2, 1) @ wide
-        rows, grad = _rows(np.concatenate((hit, k.ravel())), np.concatenate((up[:, None] * h, back.reshape(-1, h.shape[1]))))
-        return gh, rows, grad
+        rows, grad = _rows(np.concatenate((hit, k)), np.concatenate((up[:, None] * h, back.reshape(len(k), -1))))
+        return own, rows, grad
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
         x, raw, h = contexts(self.m, ids, at)
-        y = ids[at]
-        g1, rows, grad = self._tell("Q", h, y, self.noise, self.cum, DRAWS)
-        g2, group_rows, group_grad = self._tell("G", h, self.s.group[y], self.group_noise, self.cum_group, GROUP_DRAWS)
-        gh = (g1 + g2)[:, :-1]
+        gh, rows, grad = self._tell(h, ids.take(at))
+        gh = gh[:, :-1]
         back = (gh @ self.m["C"].T).reshape(-1, gh.shape[1])
         gc = raw.T @ gh
         self._move("Q", rows, grad)
-        self._move("G", group_rows, group_grad)
         self._move("R", *_rows(x.ravel(), back))
         self._move("C", np.arange(len(gc)), gc * np.float32(0.1))
 
@@ -152,15 +167,15 @@ def _log_softmax_at(s: np.ndarray, own: np.ndarray) -> np.ndarray:
         s -= top
         top = top[:, 0].astype(float)
     np.exp(s, out=s)
-    return mine - top - np.log(s.sum(axis=1))
+    return mine - top - np.log(s @ np.ones(s.shape[1], np.float32))
 
 
 def log_probs(m: dict[str, np.ndarray], s: Symbols, ids: np.ndarray, at: np.ndarray, cells: int = 1 << 17) -> np.ndarray:
     """log10 P of the symbol at each place, given those before it."""
-    h, y = contexts(m, ids, at)[2], ids[at]
+    h, y, over = contexts(m, ids, at)[2], ids[at], m["G"].T if "G" in m else group_outputs(m, s).T
     g, out = s.group[y], np.empty(len(at))
-    for lo in range(0, len(at), step := max(1, cells // len(m["G"]))):
-        out[lo : lo + step] = _log_softmax_at(h[lo : lo + step] @ m["G"].T, g[lo : lo + step])
+    for lo in range(0, len(at), step := max(1, cells // over.shape[1])):
+        out[lo : lo + step] = _log_softmax_at(h[lo : lo + step] @ over, g[lo : lo + step])
     order = np.argsort(g, kind="stable")
     cut = np.searchsorted(g[order], np.arange(len(s.first)))
     for j in np.flatnonzero((np.diff(cut) > 0) & (np.diff(s.first) > 1)).tolist():
@@ -172,19 +187,17 @@ def log_probs(m: dict[str, np.ndarray], s: Symbols, ids: np.ndarray, at: np.ndar
     return out / np.log(10)
 
 
-def laid_out(texts: list[list[int]], end: int, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of texts, one after the other: ends before each, its symbols, an end; the places to predict, and each text's first."""
-    flat: list[int] = []
-    n = []
-    for t in texts:
-        flat += [end] * context
-        flat += t
-        flat.append(end)
-        n.append(len(t) + 1)
-    count = np.array(n, np.int64)
+def laid_out(symbols: np.ndarray, n: np.ndarray, end: int, context: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of texts, one after the other: ends before each, its n symbols, an end; the places to predict, and each text's first."""
+    context = context or CONTEXT
+    count = n + 1
     first = np.cumsum(count) - count
     at = np.arange(count.sum()) + np.repeat((np.arange(len(n)) + 1) * context, count)
-    return np.array(flat, np.int32), at, first
+    ids = np.full(len(at) + context * len(n), end, np.int32)
+    inner = np.ones(len(at), bool)
+    inner[first + n] = False
+    ids[at[inner]] = symbols
+    return ids, at, first
 
 
 def deltas(before: dict[str, np.ndarray], t: Trainer, block: int = BLOCK) -> Iterator[tuple[str, int, bytes, bytes, bytes]]:

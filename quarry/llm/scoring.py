@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import logbilinear as L
 from .common import Scratch, sized
 
-HEAD = 150_000
+HEAD = 100_000
 TOKEN_BYTES = 256
 ROUNDS = 2
 TRAINER_TOKENS = 8_000_000  # what one task trains on in a round, if there is enough
@@ -68,6 +68,13 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def _symbols(s: L.Symbols, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Symbols of all texts, the length of each, all tokens, and the places of those in cells."""
+    flat = [w for t in texts for w in t]
+    ids, away = s.ids(flat)
+    return ids, np.array([len(t) for t in texts], np.int64), flat, away
+
+
 @dataclass
 class Model:
     symbols: L.Symbols
@@ -116,7 +123,7 @@ def _round(train: DataFrame, model: Model, shared, number: int, trainers: int) -
         t = L.Trainer(vectors.value, s, 7919 * number + task)
         for batch in batches:
             for b in sized(batch, 0, 1 << 18):
-                ids, at, _ = L.laid_out([s.ids(_tokens(x)) for x in b.column(0).to_pylist()], s.end)
+                ids, at, _ = L.laid_out(*_symbols(s, [_tokens(x) for x in b.column(0).to_pylist()])[:2], s.end)
                 t.text(ids, at)
         c = list(zip(*L.deltas(vectors.value, t), strict=True))
         if c:
@@ -195,22 +202,25 @@ def _score_head(base: DataFrame, model: Model | None) -> DataFrame:
         rid = TaskContext.get().partitionId() << 40
         if model:
             s = model.symbols
+            vectors = model.vectors | {"G": L.group_outputs(model.vectors, s)}
             word = np.ones(len(s.p), bool)
             word[s.cells] = False
         for batch in batches:
-            for b in sized(batch, 1, 1 << 18):
+            for b in sized(batch, 1, 1 << 19):
                 toks = [_tokens(x) for x in b.column(1).to_pylist()]
                 n = np.array([len(t) + 1 for t in toks], np.int64)
-                tails: list[list[dict]] = [[]] * b.num_rows
+                tails: list[list[dict]] = [[] for _ in toks]
                 known, logs, value = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows)
                 if model:
-                    ids, at, first = L.laid_out([s.ids(t) for t in toks], s.end)
+                    symbols, size, flat, away = _symbols(s, toks)
+                    ids, at, first = L.laid_out(symbols, size, s.end)
                     y = ids[at]
-                    value = np.add.reduceat(L.log_probs(model.vectors, s, ids, at) + s.own[y], first)
+                    value = np.add.reduceat(L.log_probs(vectors, s, ids, at) + s.own[y], first)
                     known = np.add.reduceat(word[y].astype(np.int64), first)
                     logs = np.add.reduceat(model.log_counts[y], first)
-                    have = s.at
-                    tails = [[{"token": k, "n": v} for k, v in Counter([w for w in t if w not in have]).items()] if k < m else [] for t, k, m in zip(toks, known.tolist(), n.tolist(), strict=True)]
+                    owner = np.searchsorted(np.cumsum(size), away, side="right").tolist()
+                    for (i, w), k in Counter(zip(owner, [flat[j] for j in away.tolist()], strict=True)).items():
+                        tails[i].append({"token": w, "n": k})
                 rid_now = pa.array(np.arange(rid, rid + b.num_rows))
                 rid += b.num_rows
                 yield pa.RecordBatch.from_arrays([rid_now, b.column(0), b.column(2), pa.array(n), pa.array(known), pa.array(logs), pa.array(value), pa.array(tails, entry)], names)
