@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 ROMAN = r"^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 
 
+# white space of any script: a fixed set
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def normal(text: Column) -> Column:
-    """Lower case, letters, digits, underscores and single spaces only (any script)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
+    """Lower case, letters, digits, underscores and single spaces only (any script); null stays null."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}_{SPACE}]", ""), f"[{SPACE}]+", " "))
 
 
 def roman(text: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Boxes on pages: spans for either origin, overlap, best match by overlap, and the nearest item above."""
+"""Boxes on pages: spans for either origin, overlap, best match by overlap, and the nearest item above.
+
+Edge cases: boxes with a null side overlap nothing and are above nothing; empty boxes overlap nothing; rows with a null
+page have no partner; ties go to the smallest id; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -42,3 +46,14 @@ def nearest_above(targets: DataFrame, items: DataFrame, keys: list[str], toleran
     side = F.when((F.col("i_x0") < F.col("x1")) & (F.col("x0") < F.col("i_x1")), 0).otherwise(1)
     best = F.row_number().over(Window.partitionBy(*keys, "id").orderBy(side, F.col("i_bottom") - F.col("top"), "above"))
     return j.withColumn("_r", best).where("_r = 1").select(*keys, "id", "above")
+
+
+def unique_boxes(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row, the first in order, of those with equal keys whose x0 and y0 round (half to even) to the same numbers."""
+    w = Window.partitionBy(*keys, F.rint("x0"), F.rint("y0")).orderBy(*order)
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def bands(cells: DataFrame, keys: list[str], index: str, low: str, high: str) -> DataFrame:
+    """keys, index, low, high: what the cells of each row or column cover together."""
+    return cells.groupBy(*keys, index).agg(F.min(low).alias("low"), F.max(high).alias("high"))

@@ -1,4 +1,9 @@
-"""Ordered sequences: overlapping windows and their trimming, runs, latest rows, first matching rules, multisets."""
+"""Ordered sequences: overlapping windows and their trimming, runs, latest rows, first matching rules, multisets.
+
+Edge cases: null keys group together and join with nothing, but for ``multiset_minus`` and ``unmatched``, which compare
+them like values; an order that does not tell two rows apart leaves open which is first, so callers add a tiebreak;
+null texts match no rule; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -51,6 +56,58 @@ def missing_from(a: Column, b: Column) -> Column:
     return F.map_from_entries(F.filter(F.transform(count(a), lambda e: F.struct(e["key"].alias("key"), (e["n"] - of(b, e["key"])).alias("value"))), lambda e: e["value"] > 0))
 
 
+def multiset_minus(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys, element, n: how many more times array a holds an element than array b, where it does; linear in the elements."""
+    side = lambda c, n: rows.select(*keys, F.explode(c).alias("element"), F.lit(n).alias("n"))
+    return side(a, 1).unionByName(side(b, -1)).groupBy(*keys, "element").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: rows of the left that find no partner if each row of the right may serve once."""
+    side = lambda d, n: d.select(*keys, F.lit(n).alias("n"))
+    return side(left, 1).unionByName(side(right, -1)).groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def latest_version(versions: DataFrame, keys: list[str], eligible: Column) -> DataFrame:
+    """The newest eligible row of each key by version ``major.minor`` as numbers; none if no row is eligible or reads so."""
+    rows = versions.where(eligible).withColumn("_major", F.expr("try_cast(nullif(regexp_extract(version, '^v?([0-9]+)([.][0-9]+)?$', 1), '') as long)")).withColumn("_minor", F.coalesce(F.expr("try_cast(nullif(regexp_extract(version, '^v?[0-9]+[.]([0-9]+)$', 1), '') as long)"), F.lit(0)))
+    return latest(rows.where("_major is not null"), keys, [F.desc("_major"), F.desc("_minor"), F.desc("version")]).drop("_major", "_minor")
+
+
+def prioritized(rows: DataFrame, by: list[str], key: str, rules: list[tuple[str, Column]], audit: Column, fraction: float, least: int) -> DataFrame:
+    """Adds place and why: the first rule that holds, else ``audit`` for the lowest SHA-256 of the key among rows where
+    ``audit`` holds (a fraction of them, ``least`` at least), else ``rest``.
+    """
+    hit = F.lit(None).cast("string")
+    for name, cond in reversed(rules):
+        hit = F.when(cond, F.lit(name)).otherwise(hit)
+    d = rows.withColumn("_audit", F.coalesce(audit, F.lit(False)))
+    n = d.where("_audit").groupBy(*by).agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(float(fraction)))).alias("_n"))
+    d = d.join(n, by, "left")
+    r = F.row_number().over(Window.partitionBy(*by, "_audit").orderBy(F.sha2(key, 256), key))
+    d = d.withColumn("_r", r)
+    why = F.coalesce(hit, F.when(F.col("_audit") & (F.col("_r") <= F.col("_n")), "audit").otherwise("rest"))
+    names = [*(name for name, _ in rules), "audit", "rest"]
+    return d.withColumn("why", why).withColumn("place", F.array_position(F.array(*map(F.lit, names)), F.col("why")).cast("int")).drop("_audit", "_n", "_r")
+
+
+def with_reasons(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """keys, reasons: union of ``(keys, reason)``, the reasons of a key as a sorted set joined by commas."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def set_audit(expected: DataFrame, actual: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, issue: keys that are missing, extra, or have another value; nothing for those that agree."""
+    e = expected.select(*keys, F.struct(value).alias("e"))
+    a = actual.select(*keys, F.struct(value).alias("a"))
+    j = e.join(a, keys, "full_outer")
+    issue = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra").when(~F.col(f"e.{value}").eqNullSafe(F.col(f"a.{value}")), "differs")
+    return j.select(*keys, issue.alias("issue")).where("issue is not null")
+
+
 def filled(official: DataFrame, drafts: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
     """Official rows, with blank fields taken together from the latest draft of the same key; ``origin`` says from where."""
     d = latest(drafts, keys, [F.desc(order)]).select(*keys, F.struct(*fields).alias("_draft"))

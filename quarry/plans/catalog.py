@@ -13,6 +13,7 @@ from quarry.sources import canonical as C
 from quarry.streaming import events as S
 
 PAIR_KEYS = ["source", "section_id", "page", "item"]
+LEVELS = [1, 2, 3]  # of the outlines that the test tables stand in for
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +25,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranged(spark: SparkSession, d: str) -> DataFrame:
-    return trees.subtree_ends(_tree(spark, d), _pages(spark, d))
+    return trees.subtree_ends(_tree(spark, d), _pages(spark, d), LEVELS)
 
 
 def outline(spark, d):
@@ -32,11 +33,11 @@ def outline(spark, d):
 
 
 def hierarchy_parent(spark, d):
-    return trees.parents(_tree(spark, d)).select("doc_id", "pos", "level", "parent_pos")
+    return trees.parents(_tree(spark, d), LEVELS).select("doc_id", "pos", "level", "parent_pos")
 
 
 def subtree_end(spark, d):
-    return trees.subtree_ends(_tree(spark, d)).select("doc_id", "pos", "level", "end_pos")
+    return trees.subtree_ends(_tree(spark, d), levels=LEVELS).select("doc_id", "pos", "level", "end_pos")
 
 
 def page_ranges(spark, d):
@@ -44,7 +45,7 @@ def page_ranges(spark, d):
 
 
 def hierarchy_path(spark, d):
-    return trees.paths(_tree(spark, d)).select("doc_id", "pos", "path")
+    return trees.paths(_tree(spark, d), levels=LEVELS).select("doc_id", "pos", "path")
 
 
 def block_owner(spark, d):
@@ -64,7 +65,7 @@ def tree_precision(spark, d):
 
 
 def tree_structure(spark, d):
-    return trees.structure(trees.parents(_tree(spark, d)))
+    return trees.structure(trees.parents(_tree(spark, d), LEVELS))
 
 
 def tree_status(spark, d):
@@ -72,7 +73,7 @@ def tree_status(spark, d):
 
 
 def tree_statistics(spark, d):
-    return trees.statistics(_tree(spark, d))
+    return trees.statistics(_tree(spark, d), LEVELS)
 
 
 def page_windows(spark, d):
@@ -191,8 +192,9 @@ def event_windows(spark, d):
 
 def missing_words(spark, d):
     t = _tree(spark, d)
-    a, b = F.split("title", " "), F.split(F.lower("title"), " ")
-    return t.select("doc_id", "pos", F.aggregate(F.map_values(sequences.missing_from(a, b)), F.lit(0), lambda x, y: x + y).alias("missing"))
+    rows = t.select("doc_id", "pos", F.split("title", " ").alias("a"), F.split(F.lower("title"), " ").alias("b"))
+    n = sequences.multiset_minus(rows, ["doc_id", "pos"], "a", "b").groupBy("doc_id", "pos").agg(F.sum("n").cast("int").alias("missing"))
+    return t.select("doc_id", "pos").join(n, ["doc_id", "pos"], "left").na.fill(0, ["missing"])
 
 
 def title_similarity(spark, d):
@@ -251,13 +253,13 @@ ORACLES: dict[str, str] = {
     "even_sample": f"{_TREE}, {_PAGES}, {_HAM}, n AS (SELECT doc_id, total, least(quota, total) AS n FROM ham), e AS (SELECT doc_id, total, n, unnest(range(0, n)) AS i FROM n WHERE n > 0) SELECT doc_id, CAST(least(CASE WHEN n = 1 THEN 1 ELSE round_even(1 + (total - 1)::DOUBLE * i / (n - 1), 0) END, total) AS BIGINT) AS page FROM e",
     "confidence_index": f"{_F} SELECT source, count(*) AS evaluated, CAST(sum(CASE WHEN result = 'FAIL' THEN CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS weighted, round(greatest(least(100.0::DOUBLE * (1.0::DOUBLE - sum(CASE WHEN result = 'FAIL' THEN CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END ELSE 0 END)::DOUBLE / count(*)), 100.0), 0.0), 6) AS score FROM f1 GROUP BY source",
     "version_pairs": f"{_F} SELECT source, CASE WHEN f1.result = f2.result THEN 'same' WHEN f2.result = 'PASS' THEN 'fixed' ELSE 'regressed' END AS change, count(*) AS n FROM f1 JOIN f2 USING ({_KEYS}) GROUP BY ALL",
-    "version_diff": f"{_F}, j AS (SELECT {_KEYS}, f1.result AS r1, f2.result AS r2, f1.severity AS s1, f2.severity AS s2 FROM f1 FULL JOIN f2 USING ({_KEYS})) SELECT {_KEYS}, 'result' AS field, r1 AS before, r2 AS after FROM j WHERE r1 IS DISTINCT FROM r2 UNION ALL SELECT {_KEYS}, 'severity', s1, s2 FROM j WHERE s1 IS DISTINCT FROM s2",
+    "version_diff": f"{_F}, j AS (SELECT {_KEYS}, f1.result AS r1, f2.result AS r2, f1.severity AS s1, f2.severity AS s2 FROM f1 FULL JOIN f2 USING ({_KEYS})) SELECT {_KEYS}, 'result' AS field, r1 AS before, r2 AS after FROM j WHERE r1 IS DISTINCT FROM r2 UNION ALL SELECT {_KEYS}, 'severity', s1, s2 FROM j WHERE s1 IS DISTINCT FROM s2 UNION ALL SELECT {_KEYS}, 'row', 'present', NULL FROM f1 ANTI JOIN f2 USING ({_KEYS}) UNION ALL SELECT {_KEYS}, 'row', NULL, 'present' FROM f2 ANTI JOIN f1 USING ({_KEYS})",
     "filled_drafts": f"{_F}, b AS (SELECT source, section_id, page, item, CASE WHEN right(section_id, 1) IN ('0', '5') THEN '' ELSE result END AS result, severity FROM f1), d AS (SELECT *, 1 AS batch FROM f2 UNION ALL SELECT *, 2 FROM f1 WHERE page % 2 = 0), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY batch DESC) AS r FROM d) WHERE r = 1) SELECT {_KEYS}, CASE WHEN b.result = '' AND l.r = 1 THEN l.result ELSE b.result END AS result, CASE WHEN b.result = '' AND l.r = 1 THEN l.severity ELSE b.severity END AS severity, CASE WHEN b.result <> '' THEN 'official' WHEN l.r = 1 THEN 'draft' ELSE 'none' END AS origin FROM b LEFT JOIN l USING ({_KEYS})",
     "key_changes": f"{_F} SELECT section_id, 'removed' AS change FROM (SELECT section_id FROM f1 EXCEPT SELECT section_id FROM f2) UNION ALL SELECT section_id, 'added' FROM (SELECT section_id FROM f2 EXCEPT SELECT section_id FROM f1)",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "latest_event": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "first_rule": f"{_TREE} SELECT CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' WHEN regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+') THEN 'contact' WHEN regexp_matches(text, '[0-9]{{4,}}') THEN 'number' WHEN regexp_matches(text, '\\|') THEN 'table' END AS rule, count(*) AS n FROM blocks GROUP BY ALL",
-    "normal_titles": f"{_TREE} SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM outline",
+    "normal_titles": f"{_TREE}, w AS (SELECT doc_id, pos, list_transform(string_split_regex(lower(title), '[\\p{{Z}}\\x09-\\x0d\\x1c-\\x1f\\x{{85}}]+'), lambda x: array_to_string(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]'), '')) AS w FROM outline) SELECT doc_id, pos, array_to_string(list_filter(w, lambda x: x <> ''), ' ') AS title FROM w",
     "roman_pages": f"{_TREE}, t AS (SELECT doc_id, pos, substr(translate(lower(title), 'abefghjknopqrstuwyz', 'ivxlcdmivxlcdmivxlc'), 1, 3) AS token FROM outline), v AS (SELECT *, {_VALUE(1)} AS a, {_VALUE(2)} AS b, {_VALUE(3)} AS c FROM t) SELECT doc_id, pos, token, CAST(CASE WHEN trim(token) <> '' AND regexp_matches(trim(token), '{X.ROMAN}') THEN CASE WHEN a < b THEN -a ELSE a END + CASE WHEN b < c THEN -b ELSE b END + c END AS INTEGER) AS value FROM v",
     "roman_words": f"{_TREE}, s AS (SELECT doc_id, pos, string_split(translate(lower(title), 'abefghjknopqrstuwyz', 'ivxlcdmivxlcdmivxlc'), ' ') AS w FROM outline), t AS (SELECT doc_id, pos, CAST(unnest(range(0, len(w))) AS INTEGER) AS word, unnest(w) AS token FROM s), l AS (SELECT doc_id, pos, word, unnest(range(1, length(trim(token)) + 1)) AS i, unnest(string_split(trim(token), '')) AS token FROM t WHERE trim(token) <> '' AND regexp_matches(trim(token), '{X.ROMAN}')), v AS (SELECT doc_id, pos, word, i, {_VALUE(1)} AS a FROM l), n AS (SELECT doc_id, pos, word, a, lead(a, 1, 0) OVER (PARTITION BY doc_id, pos, word ORDER BY i) AS b FROM v), x AS (SELECT doc_id, pos, word, CAST(sum(CASE WHEN a < b THEN -a ELSE a END) AS INTEGER) AS value FROM n GROUP BY ALL) SELECT doc_id, pos, word, token, value FROM t LEFT JOIN x USING (doc_id, pos, word)",
     "missing_words": f"{_TREE}, a AS (SELECT doc_id, pos, w, count(*) AS n FROM (SELECT doc_id, pos, unnest(string_split(title, ' ')) AS w FROM outline) GROUP BY ALL), b AS (SELECT doc_id, pos, w, count(*) AS n FROM (SELECT doc_id, pos, unnest(string_split(lower(title), ' ')) AS w FROM outline) GROUP BY ALL) SELECT doc_id, pos, CAST(sum(greatest(a.n - coalesce(b.n, 0), 0)) AS INTEGER) AS missing FROM a LEFT JOIN b USING (doc_id, pos, w) GROUP BY ALL",

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import geometry, quality, sequences, trees
+from quarry.operators import geometry, quality, sampling, sequences, trees
 
 
 def lcs(a, b):
@@ -113,3 +113,104 @@ def test_multiset_difference(spark):
 def test_rules_first_match_wins(spark):
     r = spark.createDataFrame([("xa",), ("b",), ("c",), (None,)], "t string").select(sequences.first_rule(None, "t", [("one", "a"), ("two", "x|b")])).collect()
     assert [x[0] for x in r] == ["one", "two", None, None]
+
+
+def test_equal_anchors_belong_to_the_first(spark):
+    tree = [(1, 0, 3), (1, 1, 3), (1, 2, 5)]
+    blocks = spark.createDataFrame([(1, i, 1) for i in range(7)], "doc_id long, reading_order int, page_no int")
+    for rows in (tree, tree[::-1]):
+        got = {r.reading_order: r.owner_pos for r in trees.owners(blocks, spark.createDataFrame(rows, "doc_id long, pos int, anchor int")).collect()}
+        assert got == {0: None, 1: None, 2: None, 3: 0, 4: 0, 5: 2, 6: 2}
+
+
+def test_boundaries_own_nothing(spark):
+    tree = spark.createDataFrame([(1, 0, 1, False), (1, 1, 3, True), (1, 2, 5, None)], "doc_id long, pos int, anchor int, boundary boolean")
+    blocks = spark.createDataFrame([(1, i, 1) for i in range(7)], "doc_id long, reading_order int, page_no int")
+    assert {r.reading_order: r.owner_pos for r in trees.owners(blocks, tree).collect()} == {0: None, 1: 0, 2: 0, 3: None, 4: None, 5: 2, 6: 2}
+
+
+def test_rows_of_one_side_are_reported_without_fields(spark):
+    rows = lambda x: spark.createDataFrame(x, "k string, a string, b string")
+    got = {tuple(r) for r in quality.differences(rows([("x", None, None), ("y", "1", None), ("w", "2", "3")]), rows([("y", "1", None), ("z", None, None), ("w", "2", None)]), ["k"], ["a", "b"]).collect()}
+    assert got == {("x", "row", "present", None), ("z", "row", None, "present"), ("w", "b", "3", None)}
+
+
+def test_normal_form_of_any_script(spark):
+    texts = ["A\u00a0b", " Cr\u00edtica  \u2003 X!", "a - b", "\u3000\u00bf1.2?", "", None, "tab\tand\x1cmore"]
+    want = ["a b", "cr\u00edtica x", "a b", "12", "", None, "tab and more"]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.normal(F.col("t"))).collect()] == want
+
+
+def test_levels_of_any_number(spark):
+    rows = [(1, i, i % 100 + 1, f"t{i}", 1) for i in range(150)]
+    got = {r.pos: r.parent_pos for r in trees.parents(spark.createDataFrame(rows, "doc_id long, pos int, level int, title string, page_no int").where("level < 71")).collect()}
+    assert got[0] is None and got[69] == 68 and got[100] is None and got[149] == 148
+
+
+def test_allocation_against_ranking(spark):
+    """Quotas as by sorting all remainders, with many ties, nulls, zero totals and null groups; a negative vote is an error."""
+    rng = random.Random(2)
+    rows = [(g, i, rng.choice((0, 1, 1, 2, 50, None))) for g in (None, 1, 2, 3) for i in range(200)] + [(9, i, 0) for i in range(7)] + [(8, i, 1) for i in range(300)]
+    got = {(r.g, r.i): r.quota for r in quality.largest_remainder(spark.createDataFrame(rows, "g long, i long, v long"), ["g"], "i", "v", F.lit(37)).collect()}
+    for g in (None, 1, 2, 3, 9, 8):
+        mine = [(i, v or 0) for h, i, v in rows if h == g]
+        total = sum(v for _, v in mine)
+        share = {i: 37.0 * v / total if total else 37.0 / len(mine) for i, v in mine}
+        quota = {i: int(s) for i, s in share.items()}
+        for i in sorted(share, key=lambda i: (-(share[i] - int(share[i])), i))[: 37 - sum(quota.values())]:
+            quota[i] += 1
+        assert {i: got[g, i] for i, _ in mine} == quota
+    try:
+        quality.largest_remainder(spark.createDataFrame([(1, 1, -1)], "g long, i long, v long"), ["g"], "i", "v", F.lit(3)).collect()
+        raise AssertionError("no error")
+    except Exception as e:  # noqa: BLE001
+        assert "negative votes" in str(e)
+
+
+def test_capacity_goes_round_by_round(spark):
+    rng = random.Random(5)
+    rows = [(g, i, rng.randint(0, 9), rng.randint(0, 9)) for g in range(40) for i in range(rng.randint(1, 8))]
+    got = {(r.g, r.i): r.granted for r in quality.within_capacity(spark.createDataFrame(rows, "g long, i long, q long, c long"), ["g"], "i", "q", "c").collect()}
+    for g in range(40):
+        mine = [(i, q, c) for h, i, q, c in rows if h == g]
+        have = {i: min(q, c) for i, q, c in mine}
+        over = sum(q - have[i] for i, q, _ in mine)
+        while over and any(have[i] < c for i, _, c in mine):
+            for i, _, c in mine:
+                if over and have[i] < c:
+                    have[i] += 1
+                    over -= 1
+        assert {i: got[g, i] for i, *_ in mine} == have, g
+
+
+def test_sample_plan_covers_chapters(spark):
+    tree = spark.createDataFrame([(1, 0, 1, 1), (1, 1, 2, 3), (1, 2, 1, 11)], "doc_id long, pos int, level int, page_no int")
+    pages = spark.createDataFrame([(1, 20), (2, 8), (3, 0)], "doc_id long, total int")
+    assert {tuple(r) for r in sampling.chapters(tree, pages).collect()} == {(1, 0, 1, 10), (1, 2, 11, 20), (2, -1, 1, 8)}
+    got = {(r.doc_id, r.page): r.reasons for r in sampling.plan(tree, pages, 0.25).collect()}
+    assert got == {(1, 1): "opening,share", (1, 6): "share", (1, 10): "share", (1, 11): "opening,share", (1, 20): "share", (2, 1): "opening,share", (2, 8): "share"}
+
+
+def test_cycles_are_not_reached(spark):
+    t = spark.createDataFrame([(1, 0, None), (1, 1, 0), (1, 2, 3), (1, 3, 2), (1, 4, 3), (1, 5, 9), (2, 0, None)], "doc_id long, pos int, parent_pos int")
+    assert {r.doc_id: r.unreached for r in trees.unreached(t).collect()} == {1: 4, 2: 0}
+
+
+def test_priorities_and_versions(spark):
+    rows = [("a", f"k{i}", i < 3) for i in range(40)] + [("b", "x", False), ("b", None, None)]
+    got = sequences.prioritized(spark.createDataFrame(rows, "s string, k string, bad boolean"), ["s"], "k", [("bad", F.col("bad"))], ~F.col("bad"), 0.1, 3).collect()
+    assert len(got) == 42 and sum(r.why == "audit" for r in got if r.s == "a") == 4 and sum(r.why == "bad" and r.place == 1 for r in got) == 3
+    assert {r.k: r.why for r in got if r.s == "b"} == {"x": "audit", None: "rest"}
+    v = spark.createDataFrame([("m", "v1.9", True), ("m", "v1.10", True), ("m", "v2", False), ("n", "draft", True), ("n", "v0", True), ("o", None, True)], "m string, version string, final boolean")
+    assert {(r.m, r.version) for r in sequences.latest_version(v, ["m"], F.col("final")).collect()} == {("m", "v1.10"), ("n", "v0")}
+
+
+def test_empty_tables_and_nulls(spark):
+    tree = spark.createDataFrame([], "doc_id long, pos int, level int, title string, page_no int, anchor int")
+    pages = spark.createDataFrame([], "doc_id long, total int")
+    for df in (trees.parents(tree), trees.paths(tree), trees.ancestors(tree), trees.context(tree), trees.clusters(tree), trees.subtree_ends(tree, pages), trees.statistics(tree), sampling.plan(tree, pages, 0.5)):
+        assert df.count() == 0
+    rows = spark.createDataFrame([(1, 0, None, None, 1, 0), (1, 1, 1, "a", 1, 1), (None, 0, 1, None, None, None)], tree.schema)
+    assert {(r.doc_id, r.pos): r.parent_pos for r in trees.parents(rows).collect()} == {(1, 0): None, (1, 1): None, (None, 0): None}
+    two = spark.createDataFrame([(1, ["a", None, "a"], ["a", None]), (2, None, ["x"]), (3, [], [])], "k long, a array<string>, b array<string>")
+    assert [tuple(r) for r in sequences.multiset_minus(two, ["k"], "a", "b").collect()] == [(1, "a", 1)]
