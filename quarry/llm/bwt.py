@@ -1,9 +1,9 @@
 """Burrows-Wheeler transforms of shards, merged by interleave refinement.
 
-A shard is a set of byte strings, each closed by an end mark of its own.  ``Shard`` sorts its suffixes once and
+A shard is a set of byte strings, each closed by an end mark.  ``Shard`` sorts its suffixes once and
 keeps the transform and its last-to-first map.  ``repeats`` merges any number of shards: it starts from the
-shards one after the other and refines the interleave; step h + 1 takes the suffixes in the order of their first
-h bytes, moves each to the suffix one byte longer (the last-to-first map) and groups them stably by that byte
+shards one after the other and refines the interleave; a step takes the suffixes in the order of their first
+h bytes, moves each to the suffix one or two bytes longer (the last-to-first map) and groups them stably by what came
 (the transform).  Groups are intervals with a common prefix of h bytes, so the step in which two neighbours part
 is their longest common prefix.  A string may stand for several equal ones; a group of one that stands for one
 leaves the work, and a group of one that stands for more is repeated as far as it goes.  What is left after ``depth``
@@ -18,22 +18,19 @@ import numpy as np
 class Shard:
     """The transform of strings: ``last`` (byte before each suffix, -1 at a string's start), ``lf`` and ``at``."""
 
-    def __init__(self, strings: list[bytes], times: list[int] | None = None):
-        """times: how many equal strings each stands for."""
+    def __init__(self, strings: list[bytes], times: list[int] | None = None, depth: int = 1 << 30):
+        """times: how many equal strings each stands for; depth: bytes that decide the order."""
         self.times = np.minimum(np.array(times if times is not None else [1] * len(strings), np.int64), 2)
         n = [len(s) for s in strings]
         size = sum(n) + len(n)
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
         ends = np.cumsum(np.array(n, np.int64) + 1) - 1
         self.starts = ends - np.array(n, np.int64)
-        code = text.astype(np.int64) + len(n)
-        code[ends] = np.arange(len(n))  # end marks sort below bytes, by string
-        bits = int(256 + len(n)).bit_length()
-        rank, span = code, 1
-        while bits * span * 2 <= 62:  # the first few symbols at once
-            follow = np.zeros(size, np.int64)
-            follow[:-span] = rank[span:]
-            rank, span = rank << (bits * span) | follow, span * 2
+        # Suffixes are sorted by their first ``depth`` bytes; what is equal so far stays in text order.
+        rank = np.zeros(size, np.int64)
+        for k in range(min(7, size)):  # the first few bytes at once
+            rank[: size - k] |= text[k:].astype(np.int64) << (8 * (6 - k))
+        span = 7
         order = np.argsort(rank, kind="stable")
         key = rank[order]
         slot = np.arange(size)  # of the suffixes whose place is still shared
@@ -44,13 +41,14 @@ class Shard:
             head = np.flatnonzero(new)
             place[part] = slot[head][np.cumsum(new) - 1]
             shared = ~(new & np.append(new[1:], True))
-            if not shared.any():
+            if span >= depth or not shared.any():
                 break
             slot, part = slot[shared], part[shared]
             key = place[part] * (size + 1) + place[np.minimum(part + span, size)]
             again = np.argsort(key, kind="stable")
             part, key, span = part[again], key[again], span * 2
             order[slot] = part
+        place[order] = np.arange(size)
         place = place[:size]
         self.at = order.astype(np.int32)  # text offset by rank
         self.last = np.full(size, -1, np.int16)
@@ -83,20 +81,23 @@ def repeats(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarra
     # Ranks in the order of the interleave; a window of ``depth`` bytes grows leftwards from the suffix at its end.
     here = np.concatenate([b + np.flatnonzero(s.offsets() >= depth) for s, b in zip(shards, base, strict=True)]).astype(np.int32)
     group = np.zeros(len(here), np.int32)
+    # Two bytes a step: the two before a suffix, the farther one first, and the suffix that begins with them.
+    back = np.maximum(lf, 0)
+    twice, pair = lf[back], (last[back].astype(np.int32) << 8 | last).astype(np.uint16)
     found: list[tuple[np.ndarray, int]] = []
-    for step in range(1, depth + 1):
-        c = last[here]
-        ok = c >= 0
-        here, group, c = lf[here[ok]], group[ok], c[ok].astype(np.uint8)
+    step = 0
+    while step < depth and len(here):
+        wide = depth - step > 1
+        step += 1 + wide
+        c = (pair if wide else last.astype(np.uint16)).take(here)  # a suffix in ``here`` has ``depth`` bytes before it
         order = np.argsort(c, kind="stable")
-        here, group, c = here[order], group[order], c[order]
-        if not len(here):
-            break
+        here, group, c = (twice if wide else lf).take(here.take(order)), group.take(order), c.take(order)
         new = np.append(True, (c[1:] != c[:-1]) | (group[1:] != group[:-1]))
         alone = new & np.append(new[1:], True)
-        if step < depth and alone.any():
-            found.append((here[alone & several[here]], step))
-        keep = ~alone if step < depth else ~alone | several[here]
+        many = several.take(here)
+        if step < depth:
+            found.append((here[alone & many], step))
+        keep = ~alone if step < depth else ~alone | many
         here, group = here[keep], np.cumsum(new, dtype=np.int32)[keep]
     found.append((here, depth))
     rank = np.concatenate([x for x, _ in found])

@@ -125,7 +125,7 @@ def merge_task(depth: int):
         for i, s in enumerate(strings, 1):
             size += len(s)
             if size >= SHARD_BYTES or i == len(strings):
-                shards.append(Shard(strings[cut[-1] : i], times[cut[-1] : i]))
+                shards.append(Shard(strings[cut[-1] : i], times[cut[-1] : i], depth))
                 cut.append(i)
                 size = 0
         at, lo, hi = [], [], []
