@@ -28,6 +28,12 @@ def roman(text: Column) -> Column:
     return F.when((t != "") & t.rlike(ROMAN), total)
 
 
+def word_share(a: Column, b: Column) -> Column:
+    """The share of the first text's distinct words, split at blanks, that the second has; null if either is."""
+    w = F.array_distinct(F.split(a, " "))
+    return F.size(F.array_intersect(w, F.split(b, " "))) / F.size(w)
+
+
 def indel(a: str, b: str) -> float:
     """100 * 2 LCS / (len a + len b), the LCS by bit-parallel rows; two empty texts are equal."""
     if not a and not b:

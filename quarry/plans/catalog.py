@@ -97,17 +97,6 @@ def nearest_above(spark, d):
     return geometry.nearest_above(t.select("doc_id", "page_no", "id", "x0", "x1", "top", "bottom"), h.select("doc_id", "page_no", "id", "x0", "x1", "top", "bottom"), ["doc_id", "page_no"])
 
 
-def _boxes(spark, d, shift):
-    li = C.read(spark, d, "lineitem")
-    x, y = (F.col("l_partkey") % 37).cast("double") * 10 + shift, (F.col("l_suppkey") % 11).cast("double") * 10 + shift
-    return li.groupBy((F.col("l_orderkey") % 997).alias("page"), F.col("l_linenumber").alias("id")).agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(F.col("l_quantity")).alias("q")).select("page", "id", "x0", "y0", (F.col("x0") + F.col("q")).alias("x1"), (F.col("y0") + F.col("q") * 2).alias("y1"))
-
-
-def iou_match(spark, d):
-    out = geometry.best_overlap(_boxes(spark, d, 0.0), _boxes(spark, d, 4.0), ["page"])
-    return out.withColumn("score", F.round("score", 6))
-
-
 def _row_boxes(spark, d, shift):
     li = C.read(spark, d, "lineitem")
     x, y, q = (F.col("l_partkey") % 37).cast("double") * 10 + shift, (F.col("l_suppkey") % 11).cast("double") * 10 + shift, F.col("l_quantity")
@@ -117,7 +106,7 @@ def _row_boxes(spark, d, shift):
 
 
 def iou_match_rows(spark, d):
-    """As iou_match, with a box for every row of the table, so that the match grows with it."""
+    """A box for every row of the table, an order being a page, so that the match grows with it."""
     out = geometry.best_overlap(_row_boxes(spark, d, 0.0), _row_boxes(spark, d, 4.0), ["page"])
     return out.withColumn("score", F.round("score", 6))
 
@@ -163,14 +152,8 @@ def normal_titles(spark, d):
     return t.select("doc_id", "pos", X.normal(F.col("title")).alias("title"))
 
 
-def roman_pages(spark, d):
-    letters = F.translate(F.lower("title"), "abefghjknopqrstuwyz", "ivxlcdmivxlcdmivxlc")
-    t = _tree(spark, d).select("doc_id", "pos", F.substring(letters, 1, 3).alias("token"))
-    return t.withColumn("value", X.roman(F.col("token")))
-
-
 def roman_words(spark, d):
-    """Every whole word of a title, in letters of numerals as in roman_pages, with its value or null."""
+    """Every whole word of a title, its letters replaced by those of numerals, with its value or null."""
     letters = F.translate(F.lower("title"), "abefghjknopqrstuwyz", "ivxlcdmivxlcdmivxlc")
     t = _tree(spark, d).select("doc_id", "pos", F.posexplode(F.split(letters, " ")).alias("word", "token"))
     return t.withColumn("value", X.roman(F.col("token")))
@@ -207,8 +190,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         outline, hierarchy_parent, subtree_end, page_ranges, hierarchy_path, block_owner, deepest_section, tree_coverage, tree_precision, tree_structure, tree_status, tree_statistics,
-        page_windows, overlap_trim, continued_runs, nearest_above, iou_match, iou_match_rows, hamilton_allocation, even_sample, confidence_index, version_pairs, version_diff, filled_drafts, key_changes, latest_event, event_windows, first_rule,
-        normal_titles, roman_pages, roman_words, missing_words, title_similarity,
+        page_windows, overlap_trim, continued_runs, nearest_above, iou_match_rows, hamilton_allocation, even_sample, confidence_index, version_pairs, version_diff, filled_drafts, key_changes, latest_event, event_windows, first_rule,
+        normal_titles, roman_words, missing_words, title_similarity,
     )
 }
 
@@ -224,7 +207,6 @@ _STRUCT = "struct AS (SELECT c.doc_id, count(*) AS entries, count(*) FILTER (c.p
 _WINDOWS = "windows AS (SELECT doc_id, CAST(i AS INTEGER) AS window, CAST(i * 4 + 1 AS INTEGER) AS first, CAST(least(i * 4 + 6, total) AS INTEGER) AS last FROM (SELECT doc_id, total, unnest(range(0, CASE WHEN total <= 6 THEN 1 ELSE CAST(ceil((total - 6) / 4.0) AS BIGINT) + 1 END)) AS i FROM pages_of))"
 _HAM = "share AS (SELECT source, doc_id, total, 25 * total::DOUBLE / sum(total) OVER (PARTITION BY source) AS s FROM pages_of JOIN documents USING (doc_id)), ham AS (SELECT source, doc_id, total, CAST(floor(s) + CASE WHEN row_number() OVER (PARTITION BY source ORDER BY s - floor(s) DESC, doc_id) <= 25 - sum(floor(s)) OVER (PARTITION BY source) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM share)"
 _STATUS = lambda bad: f"CASE WHEN {bad} THEN 'FAIL' ELSE 'PASS' END AS status"
-_BOX = lambda name, s: f"{name} AS (SELECT page, id, x0, y0, x0 + q AS x1, y0 + q * 2 AS y1 FROM (SELECT l_orderkey % 997 AS page, l_linenumber AS id, min(CAST(l_partkey % 37 AS DOUBLE) * 10 + {s}) AS x0, min(CAST(l_suppkey % 11 AS DOUBLE) * 10 + {s}) AS y0, max(l_quantity) AS q FROM lineitem GROUP BY ALL))"
 _ROW_BOX = lambda name, s: f"{name} AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS id, CAST(l_partkey % 37 AS DOUBLE) * 10 + {s} AS x0, CAST(l_suppkey % 11 AS DOUBLE) * 10 + {s} AS y0, x0 + l_quantity AS x1, y0 + l_quantity * 2 AS y1 FROM lineitem)"
 _F = f"WITH {C.findings_sql('f1').strip()}, {C.findings_sql('f2', 2).strip()}"
 _KEYS = ", ".join(PAIR_KEYS)
@@ -247,7 +229,6 @@ ORACLES: dict[str, str] = {
     "overlap_trim": f"{_TREE}, {_PAGES}, {_WINDOWS} SELECT b.doc_id, w.window, b.reading_order, b.page_no FROM blocks b JOIN windows w ON b.doc_id = w.doc_id AND b.page_no BETWEEN w.first AND w.last LEFT JOIN windows v ON v.doc_id = w.doc_id AND v.window = w.window - 1 WHERE v.last IS NULL OR b.page_no > v.last",
     "continued_runs": f"{_TREE}, c AS (SELECT doc_id, reading_order, label, CAST(reading_order % 5 + 1 AS INTEGER) AS value, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY doc_id ORDER BY reading_order) THEN 1 ELSE 0 END AS s FROM blocks), r AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY reading_order ROWS UNBOUNDED PRECEDING) AS run FROM c), m AS (SELECT doc_id, run, max(value) AS top FROM r GROUP BY ALL), b AS (SELECT doc_id, run, coalesce(sum(top) OVER (PARTITION BY doc_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM m) SELECT doc_id, reading_order, label, value, CAST(base + value AS BIGINT) AS absolute FROM r JOIN b USING (doc_id, run)",
     "nearest_above": f"{_TREE} SELECT doc_id, page_no, id, above FROM (SELECT t.doc_id, t.page_no, t.reading_order AS id, h.reading_order AS above, row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.reading_order ORDER BY CASE WHEN h.x0 < t.x1 AND t.x0 < h.x1 THEN 0 ELSE 1 END, h.bottom - t.top, h.reading_order) AS r FROM blocks t JOIN blocks h ON t.doc_id = h.doc_id AND t.page_no = h.page_no AND h.label = 'section_header' AND h.bottom >= t.top - 2 WHERE t.label = 'text') WHERE r = 1",
-    "iou_match": f"WITH {_BOX('a', '0.0')}, {_BOX('b', '4.0')}, j AS (SELECT a.page, a.id, b.id AS match, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM a JOIN b USING (page)), k AS (SELECT page, id, match, i / (s - i) AS score FROM j WHERE s - i > 0 AND i / (s - i) >= 0.5) SELECT page, id, match, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY score DESC, match) AS r FROM k) WHERE r = 1",
     "iou_match_rows": f"WITH {_ROW_BOX('a', '0.0')}, {_ROW_BOX('b', '4.0')}, j AS (SELECT a.page, a.id, b.id AS match, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM a JOIN b USING (page)), k AS (SELECT page, id, match, i / (s - i) AS score FROM j WHERE s - i > 0 AND i / (s - i) >= 0.5) SELECT page, id, match, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY score DESC, match) AS r FROM k) WHERE r = 1",
     "hamilton_allocation": f"{_TREE}, {_PAGES}, {_HAM} SELECT source, doc_id, total, quota FROM ham",
     "even_sample": f"{_TREE}, {_PAGES}, {_HAM}, n AS (SELECT doc_id, total, least(quota, total) AS n FROM ham), e AS (SELECT doc_id, total, n, unnest(range(0, n)) AS i FROM n WHERE n > 0) SELECT doc_id, CAST(least(CASE WHEN n = 1 THEN 1 ELSE round_even(1 + (total - 1)::DOUBLE * i / (n - 1), 0) END, total) AS BIGINT) AS page FROM e",
@@ -260,7 +241,6 @@ ORACLES: dict[str, str] = {
     "latest_event": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "first_rule": f"{_TREE} SELECT CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' WHEN regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+') THEN 'contact' WHEN regexp_matches(text, '[0-9]{{4,}}') THEN 'number' WHEN regexp_matches(text, '\\|') THEN 'table' END AS rule, count(*) AS n FROM blocks GROUP BY ALL",
     "normal_titles": f"{_TREE}, w AS (SELECT doc_id, pos, list_transform(string_split_regex(lower(title), '[\\p{{Z}}\\x09-\\x0d\\x1c-\\x1f\\x{{85}}]+'), lambda x: array_to_string(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]'), '')) AS w FROM outline) SELECT doc_id, pos, array_to_string(list_filter(w, lambda x: x <> ''), ' ') AS title FROM w",
-    "roman_pages": f"{_TREE}, t AS (SELECT doc_id, pos, substr(translate(lower(title), 'abefghjknopqrstuwyz', 'ivxlcdmivxlcdmivxlc'), 1, 3) AS token FROM outline), v AS (SELECT *, {_VALUE(1)} AS a, {_VALUE(2)} AS b, {_VALUE(3)} AS c FROM t) SELECT doc_id, pos, token, CAST(CASE WHEN trim(token) <> '' AND regexp_matches(trim(token), '{X.ROMAN}') THEN CASE WHEN a < b THEN -a ELSE a END + CASE WHEN b < c THEN -b ELSE b END + c END AS INTEGER) AS value FROM v",
     "roman_words": f"{_TREE}, s AS (SELECT doc_id, pos, string_split(translate(lower(title), 'abefghjknopqrstuwyz', 'ivxlcdmivxlcdmivxlc'), ' ') AS w FROM outline), t AS (SELECT doc_id, pos, CAST(unnest(range(0, len(w))) AS INTEGER) AS word, unnest(w) AS token FROM s), l AS (SELECT doc_id, pos, word, unnest(range(1, length(trim(token)) + 1)) AS i, unnest(string_split(trim(token), '')) AS token FROM t WHERE trim(token) <> '' AND regexp_matches(trim(token), '{X.ROMAN}')), v AS (SELECT doc_id, pos, word, i, {_VALUE(1)} AS a FROM l), n AS (SELECT doc_id, pos, word, a, lead(a, 1, 0) OVER (PARTITION BY doc_id, pos, word ORDER BY i) AS b FROM v), x AS (SELECT doc_id, pos, word, CAST(sum(CASE WHEN a < b THEN -a ELSE a END) AS INTEGER) AS value FROM n GROUP BY ALL) SELECT doc_id, pos, word, token, value FROM t LEFT JOIN x USING (doc_id, pos, word)",
     "missing_words": f"{_TREE}, a AS (SELECT doc_id, pos, w, count(*) AS n FROM (SELECT doc_id, pos, unnest(string_split(title, ' ')) AS w FROM outline) GROUP BY ALL), b AS (SELECT doc_id, pos, w, count(*) AS n FROM (SELECT doc_id, pos, unnest(string_split(lower(title), ' ')) AS w FROM outline) GROUP BY ALL) SELECT doc_id, pos, CAST(sum(greatest(a.n - coalesce(b.n, 0), 0)) AS INTEGER) AS missing FROM a LEFT JOIN b USING (doc_id, pos, w) GROUP BY ALL",
 }

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import geometry, quality, sampling, sequences, trees
+from quarry.functions import text as X
+from quarry.operators import alignment, geometry, quality, sampling, sequences, trees
 from quarry.plans import catalog as K
 from quarry.sources import canonical as C
 from quarry.sources import files
 
 LEVELS = K.LEVELS
+REACH, FIRST, SHIFTS = 2, 4, [-3, -2, -1, 0, 1, 2, 3]
 CAP, SHARE, AUDIT, AUDIT_LEAST = 75.0, 0.25, 0.1, 2
 
 
@@ -134,11 +136,44 @@ def nested_tree(spark, d):
     return out.select("doc_id", "pos", F.size("nodes").alias("n"), F.array_join(F.transform("nodes", lambda x: F.concat_ws("/", x["reading_order"].cast("string"), x["page_no"].cast("string"))), ",").alias("nodes"))
 
 
+def page_texts(spark, d):
+    return alignment.page_texts(C.blocks(spark, d), ["doc_id"])
+
+
+def _printed(spark: SparkSession, d: str) -> DataFrame:
+    """Entries whose page numbers are too high, by as much as is left of the document's number by 3."""
+    return K._tree(spark, d).withColumn("page_no", F.col("page_no") + (F.col("doc_id") % 3).cast("int"))
+
+
+def nearby_page(spark, d):
+    out = alignment.best_nearby(_printed(spark, d), page_texts(spark, d), X.word_share, REACH, ["doc_id"])
+    return out.withColumn("score", F.round("score", 6))
+
+
+def page_shift(spark, d):
+    e, p = _printed(spark, d), page_texts(spark, d)
+    best = alignment.best_shift(e, p, X.word_share, SHIFTS, FIRST, ["doc_id"])
+    return alignment.shift_support(e, p, best, X.word_share, 1.0, ["doc_id"]).join(best.select("doc_id", F.round("mean", 6).alias("mean")), "doc_id")
+
+
+def rising_anchors(spark, d):
+    """Anchors found for some entries only, and not in order."""
+    wanted = F.when(F.col("pos") % 3 != 1, F.col("anchor") - F.col("pos") % 4 * 3)
+    return alignment.rising(K._tree(spark, d).withColumn("wanted", wanted), ["doc_id"], "wanted").select("doc_id", "pos", "anchor")
+
+
+def relinked(spark, d):
+    """Every block of a window points to the one before it there, which is told as a place among all blocks that stay."""
+    rows = K.overlap_trim(spark, d)
+    refs = rows.withColumn("index", F.row_number().over(Window.partitionBy("doc_id", "window").orderBy("reading_order")) - 2)
+    return alignment.relinked(refs, alignment.part_starts(rows, ["doc_id"], "window"), ["doc_id"], "window", "index").select("doc_id", "reading_order", "position")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         section_context, ancestors, chapter_of, misplaced_blocks, front_matter, bounded_owner, tree_audit, page_counts, column_bands, unique_boxes, unmatched_items, capped_index, failure_groups,
-        failure_names, cause_deltas, latest_version, standing_failures, review_order, finding_audit, sample_plan, nested_tree,
+        failure_names, cause_deltas, latest_version, standing_failures, review_order, finding_audit, sample_plan, nested_tree, page_texts, nearby_page, page_shift, rising_anchors, relinked,
     )
 }
 
@@ -147,6 +182,11 @@ _REC = _T.replace("WITH ", "WITH RECURSIVE ", 1)
 _DAMAGED = "dam AS (SELECT doc_id, pos, CAST(level + CASE WHEN doc_id % 7 = 3 AND pos % 4 = 2 THEN 1 ELSE 0 END AS INTEGER) AS level, CASE WHEN doc_id % 7 = 1 AND pos % 5 = 3 THEN pos + 1 WHEN doc_id % 7 = 2 AND pos % 5 = 4 THEN 9999 WHEN doc_id % 7 = 4 AND pos < 2 THEN 1 - pos ELSE parent_pos END AS parent_pos FROM parent WHERE NOT (doc_id % 7 = 5 AND pos % 6 = 5))"
 _WEIGH = "CASE severity WHEN 'critical' THEN 8 WHEN 'high' THEN 4 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 
+_TEXTS = "texts AS (SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY reading_order) AS text FROM blocks GROUP BY doc_id, page_no)"
+_PRINTED = "printed AS (SELECT doc_id, pos, title, CAST(page_no + doc_id % 3 AS INTEGER) AS page_no FROM outline)"
+_SHARE = "CAST(len(list_intersect(list_distinct(string_split(p.title, ' ')), string_split(t.text, ' '))) AS DOUBLE) / len(list_distinct(string_split(p.title, ' ')))"
+_SHIFTED = "shifted AS (SELECT p.doc_id, p.pos, s.shift, coalesce(" + _SHARE + ", 0) AS score FROM printed p CROSS JOIN (SELECT CAST(unnest(range(-3, 4)) AS INTEGER) AS shift) s LEFT JOIN texts t ON t.doc_id = p.doc_id AND t.page_no = p.page_no + s.shift)"
+
 ORACLES: dict[str, str] = {
     "section_context": f"{_T}, {K._PARENT}, k AS (SELECT doc_id, parent_pos AS pos, string_agg(pos, ',' ORDER BY pos) AS children FROM parent WHERE parent_pos IS NOT NULL GROUP BY ALL) SELECT doc_id, pos, lag(pos) OVER w AS previous, lead(pos) OVER w AS following, parent_pos, coalesce(children, '') AS children FROM parent LEFT JOIN k USING (doc_id, pos) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
     "ancestors": f"{_REC}, {K._PARENT}, up AS (SELECT doc_id, pos, parent_pos AS ancestor, 1 AS distance FROM parent WHERE parent_pos IS NOT NULL UNION ALL SELECT up.doc_id, up.pos, p.parent_pos, distance + 1 FROM up JOIN parent p ON p.doc_id = up.doc_id AND p.pos = up.ancestor WHERE p.parent_pos IS NOT NULL) SELECT * FROM up",
@@ -168,4 +208,9 @@ ORACLES: dict[str, str] = {
     "review_order": f"{K._F}, r AS (SELECT *, row_number() OVER (PARTITION BY source, result ORDER BY sha256(section_id), section_id) AS r, count(*) FILTER (result = 'PASS') OVER (PARTITION BY source) AS n FROM f1), w AS (SELECT source, section_id, CASE WHEN result = 'FAIL' THEN 'failed' WHEN page % 10 = 0 THEN 'page' WHEN r <= greatest({AUDIT_LEAST}, ceil(n * {AUDIT}::DOUBLE)) THEN 'audit' ELSE 'rest' END AS why FROM r) SELECT *, CAST(list_position(['failed', 'page', 'audit', 'rest'], why) AS INTEGER) AS place FROM w",
     "finding_audit": f"{K._F}, e AS (SELECT * FROM f1 WHERE page % 5 <> 0) SELECT {_KEYS}, 'missing' AS issue FROM e ANTI JOIN f2 USING ({_KEYS}) UNION ALL SELECT {_KEYS}, 'extra' FROM f2 ANTI JOIN e USING ({_KEYS}) UNION ALL SELECT {_KEYS}, 'differs' FROM e JOIN f2 USING ({_KEYS}) WHERE e.result <> f2.result",
     "nested_tree": f"{_T}, {K._OWNED} SELECT o.doc_id, o.pos, CAST(count(w.reading_order) AS INTEGER) AS n, coalesce(string_agg(w.reading_order || '/' || w.page_no, ',' ORDER BY w.reading_order), '') AS nodes FROM outline o LEFT JOIN owned w ON w.doc_id = o.doc_id AND w.owner_pos = o.pos GROUP BY o.doc_id, o.pos",
+    "page_texts": f"{_T}, {_TEXTS} SELECT * FROM texts",
+    "nearby_page": f"{_T}, {_TEXTS}, {_PRINTED}, c AS (SELECT p.doc_id, p.pos, t.page_no AS page, {_SHARE} AS score FROM printed p JOIN texts t ON t.doc_id = p.doc_id AND abs(t.page_no - p.page_no) <= 2) SELECT doc_id, pos, page, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, page) AS r FROM c) WHERE r = 1",
+    "page_shift": f"{_T}, {_TEXTS}, {_PRINTED}, {_SHIFTED}, f AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM printed) WHERE r <= 4), m AS (SELECT doc_id, shift, round(avg(score), 9) AS mean FROM shifted JOIN f USING (doc_id, pos) GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mean DESC, abs(shift), shift) AS r FROM m) WHERE r = 1) SELECT doc_id, shift, count(*) AS entries, count(*) FILTER (score >= 1) AS matched, round(any_value(mean), 6) AS mean FROM shifted JOIN b USING (doc_id, shift) GROUP BY doc_id, shift",
+    "rising_anchors": f"{_REC}, w AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, CASE WHEN pos % 3 <> 1 THEN anchor - pos % 4 * 3 END AS wanted FROM outline), up AS (SELECT doc_id, pos, i, CAST(greatest(coalesce(wanted, 0), 0) AS INTEGER) AS anchor FROM w WHERE i = 1 UNION ALL SELECT w.doc_id, w.pos, w.i, CAST(greatest(coalesce(w.wanted, 0), up.anchor + 1) AS INTEGER) FROM w JOIN up ON w.doc_id = up.doc_id AND w.i = up.i + 1) SELECT doc_id, pos, anchor FROM up",
+    "relinked": f"{_T}, {K._PAGES}, {K._WINDOWS}, k AS (SELECT b.doc_id, w.window, b.reading_order FROM blocks b JOIN windows w ON b.doc_id = w.doc_id AND b.page_no BETWEEN w.first AND w.last LEFT JOIN windows v ON v.doc_id = w.doc_id AND v.window = w.window - 1 WHERE v.last IS NULL OR b.page_no > v.last), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k.window, reading_order) - 1 AS place FROM k) SELECT doc_id, reading_order, lag(place) OVER (PARTITION BY doc_id, g.window ORDER BY reading_order) AS position FROM g",
 }

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import geometry, quality, sampling, sequences, trees
+from quarry.operators import alignment, geometry, quality, sampling, sequences, trees
 
 
 def lcs(a, b):
@@ -214,3 +214,61 @@ def test_empty_tables_and_nulls(spark):
     assert {(r.doc_id, r.pos): r.parent_pos for r in trees.parents(rows).collect()} == {(1, 0): None, (1, 1): None, (None, 0): None}
     two = spark.createDataFrame([(1, ["a", None, "a"], ["a", None]), (2, None, ["x"]), (3, [], [])], "k long, a array<string>, b array<string>")
     assert [tuple(r) for r in sequences.multiset_minus(two, ["k"], "a", "b").collect()] == [(1, "a", 1)]
+
+
+def _share(a, b):
+    w = set(a.split(" "))
+    return len(w & set(b.split(" "))) / len(w)
+
+
+def test_pages_nearby_and_shifts_against_loops(spark):
+    rng = random.Random(8)
+    pages = [(d, p, " ".join(rng.choices("abcde", k=2))) for d in range(6) for p in range(1, 9) if rng.random() < 0.9]
+    entries = [(d, i, rng.choice(("a", "b c", "d a", None)), rng.choice((1, 4, 8, 30, None))) for d in range(6) for i in range(6)] + [(None, 0, "a", 1)]
+    p = spark.createDataFrame([*pages, *pages[:3]], "doc_id long, page_no int, text string")
+    e = spark.createDataFrame(entries, "doc_id long, pos int, title string, page_no int")
+    at = {(d, n): t for d, n, t in pages}
+    score = lambda d, t, n: _share(t, at[d, n]) if t is not None and (d, n) in at else 0.0
+    want = {}
+    for d, i, t, n in entries:
+        near = [m for m in range(n - 2, n + 3) if (d, m) in at] if n is not None else []
+        if near:
+            s, m = max((score(d, t, m), -m) for m in near)
+            want[d, i] = (-m, s)
+    assert {(r.doc_id, r.pos): (r.page, r.score) for r in alignment.best_nearby(e, p, X.word_share, 2, ["doc_id"]).collect()} == want
+    best = alignment.best_shift(e, p, X.word_share, [-1, 0, 1], 3, ["doc_id"])
+    got = {r.doc_id: (r["shift"], r["mean"]) for r in best.collect()}
+    for d in {x[0] for x in entries}:
+        mine = [x for x in entries if x[0] == d]
+        means = {k: round(sum(score(d, t, n + k) if n is not None else 0.0 for _, _, t, n in mine[:3]) / len(mine[:3]), 9) for k in (-1, 0, 1)}
+        shift = max(means, key=lambda k: (means[k], -abs(k), -k))
+        assert got[d] == (shift, means[shift])
+    for r in alignment.shift_support(e, p, best, X.word_share, 0.5, ["doc_id"]).collect():
+        mine = [x for x in entries if x[0] == r.doc_id]
+        assert (r.entries, r.matched) == (len(mine), sum(n is not None and score(r.doc_id, t, n + r["shift"]) >= 0.5 for _, _, t, n in mine))
+
+
+def test_rising_anchors_against_a_fold(spark):
+    rng = random.Random(4)
+    rows = [(d, i, rng.choice((None, rng.randint(-3, 30)))) for d in range(8) for i in range(20)]
+    got = {(r.doc_id, r.pos): r.anchor for r in alignment.rising(spark.createDataFrame(rows, "doc_id long, pos int, wanted int"), ["doc_id"], "wanted", 2).collect()}
+    for d in range(8):
+        last = 1
+        for _, i, w in [x for x in rows if x[0] == d]:
+            last = max(last + 1, w if w is not None else 0)
+            assert got[d, i] == last
+
+
+def test_pointers_are_places_among_all(spark):
+    rows = spark.createDataFrame([(1, 0)] * 3 + [(1, 2)] * 2 + [(2, 0)], "doc_id long, part int")
+    refs = spark.createDataFrame([(1, 2, 1), (1, 0, 2), (1, 0, 3), (1, 2, -1), (1, 1, 0), (2, 0, 0), (None, 0, 0), (2, 0, None)], "doc_id long, part int, i int")
+    got = alignment.relinked(refs, alignment.part_starts(rows, ["doc_id"], "part"), ["doc_id"], "part", "i").collect()
+    assert {(r.doc_id, r.part, r.i): r.position for r in got} == {(1, 2, 1): 4, (1, 0, 2): 2, (1, 0, 3): None, (1, 2, -1): None, (1, 1, 0): None, (2, 0, 0): 0, (None, 0, 0): None, (2, 0, None): None}
+
+
+def test_texts_of_pages_and_empty_alignments(spark):
+    b = spark.createDataFrame([(1, 2, 1, "b"), (1, 1, 1, "a"), (1, 3, 1, None), (1, 4, 2, None)], "doc_id long, reading_order int, page_no int, text string")
+    assert {(r.page_no, r.text) for r in alignment.page_texts(b, ["doc_id"]).collect()} == {(1, "a b"), (2, "")}
+    e, p = spark.createDataFrame([], "doc_id long, pos int, title string, page_no int"), alignment.page_texts(b, ["doc_id"]).where("false")
+    for df in (alignment.best_nearby(e, p, X.word_share, 1, ["doc_id"]), alignment.best_shift(e, p, X.word_share, [0], 2, ["doc_id"]), alignment.rising(e, ["doc_id"], "page_no"), alignment.part_starts(e, ["doc_id"], "pos")):
+        assert df.count() == 0
