@@ -367,6 +367,27 @@ def test_chain_in_tasks_equals_the_chain_in_one(spark):
         assert list(a["ids"]) == b["ids"].tolist() and np.allclose(a["w"], b["w"]) and np.allclose(a["e"], b["e"]) and abs(a["b"] - b["b"]) < 1e-9
 
 
+def test_folds_get_the_chosen_features_only(spark, monkeypatch):
+    """Rare words train nothing and are not sent to the folds, so the tasks' memory does not grow with them."""
+    rng, real = random.Random(18), toxicity.fit_category
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(40)) + (" idiot" if i % 4 == 0 else "")) for i in range(200)]
+    entries = sum(len(toxicity.features(t)[0]) for _, t in rows)
+
+    def spy(doc, *args):
+        if 4 * len(doc) > entries:
+            raise MemoryError(f"{len(doc)} of {entries} entries in a task")
+        return real(doc, *args)
+
+    monkeypatch.setattr(toxicity, "fit_category", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    assert set(toxicity.word_features("idiot")) <= set(chain[1]["ids"])
+    assert all(r.toxic == (r.doc_id % 4 == 0) for r in toxicity.classify(docs, chain).collect())
+    alone = toxicity.train(docs.where("doc_id < 2"), labels)  # no feature of at least RARE documents: rates stand for models
+    assert [m["ids"] for m in alone] == [[], []] and toxicity.classify(docs, alone).count() == 200
+
+
 def test_media_digests(spark, docs, empty):
     table = Scratch(spark, "t").put(media.store(docs, "doc_id", "text"))
     got = collections.Counter()
