@@ -2,18 +2,21 @@
 
 A shard is a set of byte strings, each closed by an end mark.  ``Shard`` sorts its suffixes once and
 keeps the transform and its last-to-first map.  ``repeats`` merges any number of shards: it starts from the
-shards one after the other and refines the interleave; a step takes the suffixes in the order of their first
-h bytes, moves each to the suffix one or two bytes longer (the last-to-first map) and groups them stably by what came
-(the transform).  Groups are intervals with a common prefix of h bytes, so the step in which two neighbours part
-is their longest common prefix.  A string may stand for several equal ones; a group of one that stands for one
+shards one after the other and refines the interleave; a step takes the suffixes grouped by their first
+h bytes, moves each to the suffix up to ``WIDE`` bytes longer (the last-to-first map) and parts each group by what came
+(the transform).  Groups have a common prefix of h bytes, so the step in which two members part
+bounds their longest common prefix.  A group whose members all got the same bytes stays as it is, so only what parts
+is sorted.  A string may stand for several equal ones; a group of one that stands for one
 leaves the work, and a group of one that stands for more is repeated as far as it goes.  What is left after ``depth``
-steps are the other repeated intervals.  No suffix is compared with another of a different shard.
+bytes are the other repeated intervals.  No suffix is compared with another of a different shard but by its group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+WIDE = 8  # bytes of a step, a power of two
+
 
 class Shard:
     """The transform of strings: ``last`` (byte before each suffix, -1 at a string's start), ``lf`` and ``at``."""
@@ -26,12 +29,13 @@ class Shard:
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
         ends = np.cumsum(np.array(n, np.int64) + 1) - 1
         self.starts = ends - np.array(n, np.int64)
-        # Suffixes are sorted by their first ``depth`` bytes; what is equal so far stays in text order.
-        rank = np.zeros(size, np.int64)
-        for k in range(min(7, size)):  # the first few bytes at once
-            rank[: size - k] |= text[k:].astype(np.int64) << (8 * (6 - k))
-        span = 7
-        order = np.argsort(rank, kind="stable")
+        # Suffixes are sorted by their first ``depth`` bytes; what is equal so far has any order.
+        rank = text.astype(np.uint64)
+        for k in (1, 2, 4):  # the first eight bytes at once
+            rank <<= np.uint64(8 * k)
+            rank[: size - k] |= rank[k:] >> np.uint64(8 * k)
+        span = 8
+        order = np.argsort(rank)
         key = rank[order]
         slot = np.arange(size)  # of the suffixes whose place is still shared
         part = order
@@ -45,27 +49,38 @@ class Shard:
                 break
             slot, part = slot[shared], part[shared]
             key = place[part] * (size + 1) + place[np.minimum(part + span, size)]
-            again = np.argsort(key, kind="stable")
+            again = np.argsort(key)
             part, key, span = part[again], key[again], span * 2
             order[slot] = part
         place[order] = np.arange(size)
         place = place[:size]
+        first = place[self.starts]
         self.at = order.astype(np.int32)  # text offset by rank
-        self.last = np.full(size, -1, np.int16)
-        inner = np.ones(size, bool)
-        inner[self.starts] = False
-        self.last[place[inner]] = text[np.flatnonzero(inner) - 1]
-        self.lf = np.full(size, -1, np.int32)
-        self.lf[place[inner]] = place[np.flatnonzero(inner) - 1]
+        self.last = text.take(self.at - 1).astype(np.int16)
+        self.lf = place.take(self.at - 1).astype(np.int32)
+        self.last[first] = self.lf[first] = -1
+        self.string = np.repeat(np.arange(len(n), dtype=np.int32), np.array(n, np.int64) + 1)  # by text offset
 
     def strings(self) -> np.ndarray:
         """The string of each suffix, by rank."""
-        return np.searchsorted(self.starts, self.at, side="right") - 1
+        return self.string.take(self.at)
 
     def offsets(self) -> np.ndarray:
         """Offset of each suffix in its string, by rank."""
         return self.at - self.starts[self.strings()]
 
+    def wide(self, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The 1, 2, 4 and 8 bytes before each suffix, the farthest one first, and the suffix that begins with them.
+
+        Nothing is meant where a string has fewer.  Of more bytes than ``depth`` there is none.
+        """
+        came, back = [np.maximum(self.last, 0).astype(np.uint8)], [np.maximum(self.lf, 0)]
+        while (n := 1 << len(came)) <= min(WIDE, depth):
+            near, last = came[-1].astype(f"u{n}"), back[-1]
+            came.append(near.take(last) << near.dtype.type(4 * n) | near)
+            back.append(last.take(last))
+        return came, back
+
 
 def repeats(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each shard the string, offset and common prefix of every suffix whose first ``depth`` bytes occur again.
@@ -74,31 +89,39 @@ def repeats(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarra
     """
     sizes = [len(s.last) for s in shards]
     base = np.cumsum(sizes) - sizes
-    last = np.concatenate([s.last for s in shards])
-    lf = np.concatenate([np.where(s.lf >= 0, s.lf + b, -1) for s, b in zip(shards, base, strict=True)]).astype(np.int32)
     text = np.concatenate([s.at for s in shards])
     several = np.concatenate([s.times[s.strings()] > 1 for s in shards])
-    # Ranks in the order of the interleave; a window of ``depth`` bytes grows leftwards from the suffix at its end.
+    wide = [s.wide(depth) for s in shards]
+    came = [np.concatenate(x) for x in zip(*(c for c, _ in wide), strict=True)]
+    back = [np.concatenate([r + np.int32(b) for r, b in zip(x, base, strict=True)]) for x in zip(*(r for _, r in wide), strict=True)]
+    # Ranks by group; a window of ``depth`` bytes grows leftwards from the suffix at its end.
     here = np.concatenate([b + np.flatnonzero(s.offsets() >= depth) for s, b in zip(shards, base, strict=True)]).astype(np.int32)
-    group = np.zeros(len(here), np.int32)
-    # Two bytes a step: the two before a suffix, the farther one first, and the suffix that begins with them.
-    back = np.maximum(lf, 0)
-    twice, pair = lf[back], (last[back].astype(np.int32) << 8 | last).astype(np.uint16)
+    new = np.arange(len(here)) == 0  # where a group begins
     found: list[tuple[np.ndarray, int]] = []
     step = 0
     while step < depth and len(here):
-        wide = depth - step > 1
-        step += 1 + wide
-        c = (pair if wide else last.astype(np.uint16)).take(here)  # a suffix in ``here`` has ``depth`` bytes before it
-        order = np.argsort(c, kind="stable")
-        here, group, c = (twice if wide else lf).take(here.take(order)), group.take(order), c.take(order)
-        new = np.append(True, (c[1:] != c[:-1]) | (group[1:] != group[:-1]))
+        k = min(len(came), (depth - step).bit_length()) - 1
+        c = came[k].take(here)  # a suffix in ``here`` has ``depth`` bytes before it
+        here = back[k].take(here)
+        apart = (c[1:] != c[:-1]) & ~new[1:]
+        first, step = step == 0, step + (1 << k)
+        if apart.any():
+            group = np.cumsum(new) - 1
+            parted = np.zeros(group[-1] + 1, bool)
+            parted[group[1:][apart]] = True
+            at = np.flatnonzero(parted[group])
+            own, c = group[at], c[at]
+            order = np.argsort(c) if len(parted) == 1 else np.lexsort((c, own))
+            here[at], c = here[at[order]], c[order]
+            new[at[1:]] |= c[1:] != c[:-1]  # groups keep their places, so where one begins is marked already
+        elif not first:
+            continue
         alone = new & np.append(new[1:], True)
         many = several.take(here)
         if step < depth:
             found.append((here[alone & many], step))
         keep = ~alone if step < depth else ~alone | many
-        here, group = here[keep], np.cumsum(new, dtype=np.int32)[keep]
+        here, new = here[keep], new[keep]
     found.append((here, depth))
     rank = np.concatenate([x for x, _ in found])
     common = np.repeat([n for _, n in found], [len(x) for x, _ in found])
@@ -107,6 +130,6 @@ def repeats(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarra
     out = []
     for k, s in enumerate(shards):
         mine = owner == k
-        string = np.searchsorted(s.starts, at[mine], side="right") - 1
+        string = s.string.take(at[mine])
         out.append((string, at[mine] - s.starts[string], common[mine]))
     return out

@@ -130,10 +130,13 @@ class Rolling:
     """Hashes of any byte ranges of one buffer from prefix sums: sum of T[byte] * B^i mod 2^64, shifted to i = 0."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _seeds: dict[int, tuple[np.ndarray, int]] = {}
 
     def __init__(self, data: np.ndarray, seed: int):
-        table = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD + np.uint64(seed))
-        base = int(mix(np.array([seed * 2 + 77], np.uint64))[0]) | 1
+        if seed not in self._seeds:
+            table = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD + np.uint64(seed))
+            self._seeds[seed] = table, int(mix(np.array([seed * 2 + 77], np.uint64))[0]) | 1
+        table, base = self._seeds[seed]
         up, self.down = self._tables(base, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(table[data] * up[: len(data)], out=self.sums[1:])

@@ -104,11 +104,12 @@ def occurrences(base: DataFrame, depth: int, gram: int) -> DataFrame:
     return base.where(F.octet_length("text") >= depth).select("doc", "k", "text").mapInArrow(run, "doc long, k long, anchor long, c1 long, c2 long, start long, span int, length int, place int, n int")
 
 
-def _runs(offsets: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
-    offsets = np.unique(offsets)
-    cut = np.flatnonzero(np.append(True, np.diff(offsets) > 1))
-    for a, z in zip(cut, np.append(cut[1:], len(offsets)), strict=True):
-        yield int(offsets[a]), int(offsets[z - 1]) + depth
+def _runs(string: np.ndarray, offset: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """string, lo and hi of the runs of neighbouring windows."""
+    key = np.sort(string.astype(np.int64) << 32 | offset)
+    new = np.append(True, np.diff(key) > 1)[: len(key)]
+    string, offset = key >> 32, key & ((1 << 32) - 1)
+    return string[new], offset[new], offset[np.append(new[1:], True)[: len(key)]] + depth
 
 
 _MARKS = "anchor long, c1 long, c2 long, lo int, hi int"
@@ -128,18 +129,8 @@ def merge_task(depth: int):
                 shards.append(Shard(strings[cut[-1] : i], times[cut[-1] : i], depth))
                 cut.append(i)
                 size = 0
-        at, lo, hi = [], [], []
-        for first, (string, offset, _) in zip(cut[:-1], repeats(shards, depth), strict=True):
-            order = np.lexsort((offset, string))
-            string, offset = string[order], offset[order]
-            ends = np.flatnonzero(np.append(np.diff(string) != 0, len(string) > 0))
-            begin = 0
-            for e in ends.tolist():
-                for a, z in _runs(offset[begin : e + 1], depth):
-                    at.append(first + int(string[e]))
-                    lo.append(a)
-                    hi.append(z)
-                begin = e + 1
+        found = [(first + string, offset) for first, (string, offset, _) in zip(cut[:-1], repeats(shards, depth), strict=True)]
+        at, lo, hi = _runs(*(np.concatenate(x) for x in zip(*found, strict=True)), depth)
         took = table.select(_KEY).take(pa.array(at, pa.int64()))
         return pa.table([*took.columns, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], [*_KEY, "lo", "hi"])
 

@@ -68,6 +68,33 @@ def test_strings_that_stand_for_several(seed):
         assert {(strings[i], j) for i, j, _ in found} == want and all(1 <= n <= d for *_, n in found)
 
 
+@pytest.mark.parametrize("d", [5, 8, 15, 16, 23, 31, 40])
+def test_wide_steps_find_all_repeats(d):
+    """Steps of 8, 4, 2 and 1 bytes, over groups that part at any byte and strings that stand for several."""
+    rng = random.Random(d)
+    pieces = [bytes(rng.choice(b"ab\0\xff") for _ in range(rng.randint(1, 30))) for _ in range(5)]
+    strings = sorted({b"".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(30)})
+    times = [rng.choice((1, 1, 1, 3)) for _ in strings]
+    shards = [bwt.Shard(strings[a:z], times[a:z], d) for a, z in ((0, 9), (9, 10), (10, len(strings)))]
+    found = [(strings[a + int(i)], int(j)) for a, x in zip((0, 9, 10), bwt.repeats(shards, d)) for i, j in zip(*x[:2])]
+    many = [s for s, n in zip(strings, times) for _ in range(n)]
+    assert len(found) == len(set(found)) and set(found) == {(many[i], j) for i, j in brute_repeats(many, d)}
+
+
+def test_groups_that_stay_whole_are_not_sorted_again(monkeypatch):
+    """Two strings with one long common part: each of its windows is sorted in the first steps, and only carried on after."""
+    rng = random.Random(3)
+    part = bytes(rng.randrange(1, 256) for _ in range(3000))
+    shards = [bwt.Shard([b"x" + part], None, 200), bwt.Shard([part + b"y"], None, 200)]
+    sorted_rows = []
+    for name in ("argsort", "lexsort"):
+        real = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda x, *a, real=real, **k: (r := real(x, *a, **k), sorted_rows.append(len(r)))[0])
+    found = bwt.repeats(shards, 200)
+    assert [sorted(o.tolist()) for _, o, _ in found] == [list(range(1, 2802)), list(range(2801))]
+    assert sum(sorted_rows) < 3 * 2 * 2802  # two bytes a step sorted all of them a hundred times
+
+
 def test_shard_is_a_transform():
     shard = bwt.Shard([b"banana", b"ananas"])
     text = b"banana\0ananas\0"
