@@ -55,10 +55,10 @@ class Symbols:
 
     def ids(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The symbol of each token, and the places of those in cells."""
-        get, cell = self.at.get, self.cell
+        get = self.at.get
         out = np.array([get(t, -1) for t in tokens], np.int32)
         away = np.flatnonzero(out < 0)
-        out[away] = [cell(tokens[i]) for i in away.tolist()]
+        out[away] = self.cells[np.array([zlib.crc32(tokens[i]) for i in away.tolist()], np.int64) % len(self.cells)]
         return out, away
 
 
@@ -93,13 +93,17 @@ def contexts(m: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple
 
 def _rows(ids: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the gradients of each id."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
+    key = np.sort(ids.astype(np.int64) << 32 | np.arange(len(ids)))
+    ids, order = key >> 32, key & ((1 << 32) - 1)
     new = np.append(True, ids[1:] != ids[:-1])
-    place, width = np.empty(len(ids), np.int64), grad.shape[1]
-    place[order] = np.cumsum(new) - 1
-    at = (place[:, None] * width + np.arange(width)).ravel()
-    return ids[new], np.bincount(at, grad.ravel()).reshape(-1, width).astype(np.float32)
+    alone = new & np.append(new[1:], True)
+    ids, width = ids[new], grad.shape[1]
+    out = np.empty((len(ids), width), np.float32)
+    one = alone[new]
+    out[one] = grad.take(order[alone], axis=0)
+    if not alone.all():
+        out[~one] = np.add.reduceat(grad.take(order[~alone], axis=0), np.flatnonzero(new[~alone]), axis=0)
+    return ids, out
 
 
 class Trainer:
@@ -176,7 +180,7 @@ def log_probs(m: dict[str, np.ndarray], s: Symbols, ids: np.ndarray, at: np.ndar
     g, out = s.group[y], np.empty(len(at))
     for lo in range(0, len(at), step := max(1, cells // over.shape[1])):
         out[lo : lo + step] = _log_softmax_at(h[lo : lo + step] @ over, g[lo : lo + step])
-    order = np.argsort(g, kind="stable")
+    order = np.argsort(g.astype(np.uint16), kind="stable")  # there are a few hundred groups
     cut = np.searchsorted(g[order], np.arange(len(s.first)))
     for j in np.flatnonzero((np.diff(cut) > 0) & (np.diff(s.first) > 1)).tolist():
         a, z = s.first[j], s.first[j + 1]

@@ -19,17 +19,17 @@ and the score equals the base; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import logbilinear as L
-from .common import Scratch, sized
+from .common import CHUNK, SPACE, Scratch, sized
 
 HEAD = 100_000
 TOKEN_BYTES = 256
@@ -37,42 +37,67 @@ ROUNDS = 2
 TRAINER_TOKENS = 8_000_000  # what one task trains on in a round, if there is enough
 FAN_IN = 64  # tasks whose moves are averaged at once
 HELD_OUT, FOLDS = 2, 7
-FLUSH = 400_000
+FLUSH, FLUSH_BYTES = 400_000, 1 << 26
 END = L.END
-
-
-def _tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()  # bytes.lower and split know ASCII only
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of all tokens of ``texts``, one text after the other: the place of each among the different ones; these; and how many a text has."""
+    raw = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    if not len(raw):
+        return np.zeros(0, np.int32), pa.array([], pa.binary()), np.zeros(0, np.int64)
+    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    inside = ~SPACE[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    edge = at[at < len(data)]
+    begin[edge] = inside[edge]  # no token goes on in the next text
+    kept = _LOWER[data[inside]]
+    cut = np.append(np.flatnonzero(begin[inside]), len(kept)).astype(np.int32)
+    kinds = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(kept)]).dictionary_encode()
+    return kinds.indices.to_numpy(), kinds.dictionary, np.diff(np.searchsorted(np.flatnonzero(begin), at))
 
 
 def token_counts(train: DataFrame) -> DataFrame:
     """token (binary, the end is empty), n: over all texts of ``train(text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
-            seen.clear()
-            return r
-
-        for b in batches:
-            for text in b.column(0):
-                seen.update(_tokens(text.as_py()))
-                if len(seen) > FLUSH:
-                    yield out()
-            seen[END] += b.num_rows
+        seen: list[pa.Table] = []
+        rows, size = 0, 0
+        for batch in batches:
+            for b in sized(batch, 0, 2 * CHUNK):
+                codes, kinds, _ = _tokens(b.column(0))
+                n = np.append(np.bincount(codes, minlength=len(kinds)), b.num_rows)
+                seen.append(pa.table({"token": pa.concat_arrays([kinds, pa.array([END], pa.binary())]), "n": pa.array(n, pa.int64())}))
+                rows, size = rows + len(n), size + kinds.nbytes
+                if rows > 2 * FLUSH or size > FLUSH_BYTES:
+                    seen = [_summed(seen)]
+                    rows, size = seen[0].num_rows, seen[0].nbytes
+                    if rows > FLUSH or 2 * size > FLUSH_BYTES:
+                        yield from seen[0].to_batches()
+                        seen, rows, size = [], 0, 0
         if seen:
-            yield out()
+            yield from _summed(seen).to_batches()
 
     return train.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _symbols(s: L.Symbols, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Symbols of all texts, the length of each, all tokens, and the places of those in cells."""
-    flat = [w for t in texts for w in t]
-    ids, away = s.ids(flat)
-    return ids, np.array([len(t) for t in texts], np.int64), flat, away
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
+
+
+def _symbols(s: L.Symbols, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Symbols of all tokens, the number of each text, and where the tokens in cells are, with their places among ``kinds``."""
+    codes, kinds, n = _tokens(texts)
+    ids, away = s.ids(kinds.to_numpy(zero_copy_only=False).tolist())
+    cell = np.zeros(len(kinds), bool)
+    cell[away] = True
+    far = np.flatnonzero(cell.take(codes))
+    return ids.take(codes), n, far, kinds, codes[far]
 
 
 @dataclass
@@ -123,7 +148,7 @@ def _round(train: DataFrame, model: Model, shared, number: int, trainers: int) -
         t = L.Trainer(vectors.value, s, 7919 * number + task)
         for batch in batches:
             for b in sized(batch, 0, 1 << 18):
-                ids, at, _ = L.laid_out(*_symbols(s, [_tokens(x) for x in b.column(0).to_pylist()])[:2], s.end)
+                ids, at, _ = L.laid_out(*_symbols(s, b.column(0))[:2], s.end)
                 t.text(ids, at)
         c = list(zip(*L.deltas(vectors.value, t), strict=True))
         if c:
@@ -192,7 +217,6 @@ def _score_head(base: DataFrame, model: Model | None) -> DataFrame:
     """What the tasks know: sums over words, the model's terms, and the counts of all tokens in cells."""
     kind = dict(base.dtypes)["doc_id"]
     shared = base.sparkSession.sparkContext.broadcast(model)
-    entry = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_head", "log_counts", "log_model", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,22 +231,29 @@ def _score_head(base: DataFrame, model: Model | None) -> DataFrame:
             word[s.cells] = False
         for batch in batches:
             for b in sized(batch, 1, 1 << 19):
-                toks = [_tokens(x) for x in b.column(1).to_pylist()]
-                n = np.array([len(t) + 1 for t in toks], np.int64)
-                tails: list[list[dict]] = [[] for _ in toks]
                 known, logs, value = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows)
                 if model:
-                    symbols, size, flat, away = _symbols(s, toks)
+                    symbols, size, far, kinds, codes = _symbols(s, b.column(1))
                     ids, at, first = L.laid_out(symbols, size, s.end)
                     y = ids[at]
                     value = np.add.reduceat(L.log_probs(vectors, s, ids, at) + s.own[y], first)
                     known = np.add.reduceat(word[y].astype(np.int64), first)
                     logs = np.add.reduceat(model.log_counts[y], first)
-                    owner = np.searchsorted(np.cumsum(size), away, side="right").tolist()
-                    for (i, w), k in Counter(zip(owner, [flat[j] for j in away.tolist()], strict=True)).items():
-                        tails[i].append({"token": w, "n": k})
+                else:
+                    _, kinds, size = _tokens(b.column(1))
+                    far = codes = np.zeros(0, np.int64)
+                tails = _tails(np.searchsorted(np.cumsum(size), far, side="right"), codes, kinds, b.num_rows)
+                n = size + 1
                 rid_now = pa.array(np.arange(rid, rid + b.num_rows))
                 rid += b.num_rows
-                yield pa.RecordBatch.from_arrays([rid_now, b.column(0), b.column(2), pa.array(n), pa.array(known), pa.array(logs), pa.array(value), pa.array(tails, entry)], names)
+                yield pa.RecordBatch.from_arrays([rid_now, b.column(0), b.column(2), pa.array(n), pa.array(known), pa.array(logs), pa.array(value), tails], names)
 
     return base.select("doc_id", "text", "held_out").mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, log_counts double, log_model double, tail array<struct<token:binary,n:long>>")
+
+
+def _tails(owner: np.ndarray, codes: np.ndarray, kinds: pa.Array, rows: int) -> pa.Array:
+    """For each of ``rows`` texts its different tokens (token, n) of those given by text and place among ``kinds``."""
+    key, times = np.unique(owner.astype(np.int64) * len(kinds) + codes, return_counts=True)
+    owner, codes = np.divmod(key, max(1, len(kinds)))
+    entries = pa.StructArray.from_arrays([kinds.take(pa.array(codes)), pa.array(times, pa.int64())], ["token", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), entries)

@@ -5,11 +5,12 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarry.llm import bwt, hnsw, logbilinear, media, minhash, packing, suffixes, toxicity, vectors, warc
+from quarry.llm import bwt, hnsw, logbilinear, media, minhash, packing, scoring, suffixes, toxicity, vectors, warc
 from quarry.llm.common import Rolling, words
 from quarry.llm.queries import tokenizer_path
 from quarry.llm.tokens import WordIds
@@ -316,6 +317,37 @@ def test_log_bilinear_model_is_normalised_and_beats_the_unigram():
     assert logbilinear.log_probs(t.m, s, ids, at).mean() > np.log10(s.p[ids[at]]).mean() + 0.3
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="aAzZ[@`{\x00\x1c\x85\xa0\u00c9\u2003 \t\n\x0b\x0c\r", max_size=14), max_size=8), st.integers(0, 3))
+def test_tokens_of_a_batch_are_those_of_each_text(texts, skip):
+    codes, kinds, n = scoring._tokens(pa.array(texts, pa.string()).slice(skip))
+    want = [(t or "").encode().lower().split() for t in texts[skip:]]
+    assert n.tolist() == [len(t) for t in want] and len(kinds) == len(set(kinds.to_pylist()))
+    assert [kinds[int(c)].as_py() for c in codes] == [w for t in want for w in t]
+
+
+def test_each_different_token_of_a_batch_is_looked_up_once():
+    s = logbilinear.Symbols({b"": 9, b"the": 5, b"a": 3}, np.full(4, 2.0), np.full(4, 1.0))
+    asked, real = [], s.ids
+    s.ids = lambda tokens: (asked.extend(tokens), real(tokens))[1]
+    ids, n, far, kinds, codes = scoring._symbols(s, pa.array(["The rare a the", None, "a rare the rare"]))
+    assert sorted(asked) == [b"a", b"rare", b"the"]
+    assert ids.tolist() == [s.at[b"the"], s.cell(b"rare"), s.at[b"a"], s.at[b"the"], s.at[b"a"], s.cell(b"rare"), s.at[b"the"], s.cell(b"rare")]
+    assert n.tolist() == [4, 0, 4] and far.tolist() == [1, 5, 7]
+    tails = scoring._tails(np.searchsorted(np.cumsum(n), far, side="right"), codes, kinds, 3)
+    assert tails.to_pylist() == [[{"token": b"rare", "n": 1}], [], [{"token": b"rare", "n": 2}]]
+
+
+@pytest.mark.parametrize("kinds", [1, 7, 5000])
+def test_gradients_are_summed_by_row(kinds):
+    rng = np.random.default_rng(kinds)
+    ids, grad = rng.integers(0, kinds, 700).astype(np.int32), rng.normal(size=(700, 5)).astype(np.float32)
+    rows, sums = logbilinear._rows(ids, grad.copy())
+    want = np.zeros((kinds, 5))
+    np.add.at(want, ids, grad)
+    assert rows.tolist() == sorted(set(ids.tolist())) and sums.dtype == np.float32 and np.allclose(sums, want[rows], atol=1e-4)
+
+
 def test_moves_of_tasks_are_averaged_by_row():
     words = {b"": 50} | {b"w%d" % i: 30 - i for i in range(20)}
     s = logbilinear.Symbols(words, np.zeros(16), np.zeros(16))
